@@ -93,7 +93,7 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, l
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     rows = rows.join(revisits(pages, least), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
-    rows = rows.repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    rows = rows.sortWithinPartitions("page_id", "url", "html")
 
     def bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{path}/bundle-{(part := TaskContext.get().partitionId()):06d}-{uuid.uuid4().hex}.warc.zst"
