@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ from .seekable import Reader, Writer
 END_ID = 0
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 1_000_000, 48
+
+#: Documents whose new words are encoded together.
+BATCH_DOCS = 1000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
 READ = "doc_id long, shard int, frame int, place long, n_tokens long, ids_crc32 long"
@@ -51,8 +55,10 @@ class Encoder:
 
     Its pre-tokenizer never joins what stands before a space to what follows
     when the next character is not white space: a token can only begin at that
-    space. So a text is encoded in pieces cut there, and pieces seen before
-    are taken from a table. The ids equal those of the whole text.
+    space. So texts are cut there, words seen before are taken from a table,
+    and the new words of a batch are encoded together, in one text. The first
+    token of a word is the only one that begins with a space, which tells the
+    words of that text apart. The ids equal those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -61,38 +67,48 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        size = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        self._begins = np.array([(self._tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
         self._kept: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _missing(self, word: str) -> bytes:
-        """The ids of a word with the space before it; the word doesn't begin with white space."""
-        ids = self._ids(f" {word}")
-        if len(word) <= CACHE_LENGTH:
-            if len(self._kept) >= CACHE_WORDS:
-                self._kept.clear()
-            self._kept[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        get = self._kept.get
-        words = text.split(" ")
-        out = [get(w) for w in words[1:]]
-        while None in out:
-            k = out.index(None)
-            word = words[k + 1]
-            if not word or word[0].isspace():  # the space before it isn't a place to cut
-                return b"".join(map(self._piece, re.split(r"(?= \S)", text)))
-            out[k] = self._missing(word)
-        return b"".join([self._ids(words[0]), *out])
-
-    def _piece(self, piece: str) -> bytes:
-        if piece[:1] != " ":
-            return self._ids(piece)
-        ids = self._kept.get(piece[1:])
-        return self._missing(piece[1:]) if ids is None else ids
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of words (each with the space before it) into the table."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = self._ids(" " + " ".join(part))
+            edges = np.append(np.flatnonzero(self._begins[ids]), len(ids)) * 4
+            data = ids.tobytes()
+            self._kept.update(zip(part, (data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [re.split(r" (?=\S)", text) if _awkward(text) else text.split(" ") for text in texts]
+        new = {w for words in split for w in words[1:]} - self._kept.keys()
+        long = {w for w in new if len(w) > CACHE_LENGTH}
+        if len(self._kept) + len(new) > CACHE_WORDS:
+            self._kept.clear()
+            new = {w for words in split for w in words[1:]}
+        spaced = {w for w in new if " " in w}
+        self._learn(sorted(new - spaced))
+        self._kept.update((w, self._ids(f" {w}").tobytes()) for w in spaced)
+        get = self._kept.__getitem__
+        out = [b"".join([self._ids(words[0]).tobytes(), *map(get, words[1:])]) for words in split]
+        for w in long:
+            self._kept.pop(w, None)
+        return out
+
+
+#: A space before white space or at the end: a place where the text may not be cut.
+_awkward = re.compile(r" (?:\s|$)").search
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker, which keeps its table from task to task."""
+    return Encoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -100,16 +116,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
     vocabulary = vocabulary or default_vocabulary()
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = Encoder(vocabulary), None
+        writer = None
         name = f"{path}/shard-{(part := TaskContext.get().partitionId()):06d}-{uuid.uuid4().hex}.zst"
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         held: list[bytes] = []
         size = n_tokens = 0
+
+        def encoded(texts: pa.Array) -> Iterator[bytes]:
+            for at in range(0, len(texts), BATCH_DOCS):
+                for data in encoder(vocabulary).encode(texts[at : at + BATCH_DOCS].to_pylist()):
+                    yield data + end
+
         ids, frames, places, counts = [], [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                writer = writer or Writer(name)
-                data = encoder.encode(text.as_py() or "") + end
+            writer = writer or Writer(name)
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 ids.append(doc_id)
                 frames.append(len(writer.frames))
                 places.append(size // 4)
