@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, simhash, token_output, warc
+from . import chat, exact_dedup, mixing, simhash, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
