@@ -22,10 +22,10 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,10 @@ from .seekable import Reader, Writer
 END_ID = 0
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
-CACHE_WORDS, CACHE_LENGTH = 1_200_000, 48
+CACHE_WORDS, CACHE_LENGTH = 700_000, 48
 
 #: Documents whose new words are encoded together.
-BATCH_DOCS = 1000
+BATCH_DOCS = 4000
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
 READ = "doc_id long, shard int, frame int, place long, n_tokens long, ids_crc32 long"
@@ -94,22 +94,50 @@ class Encoder:
                 self._firsts[text] = ids
         return ids
 
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are to be found or learned, each with the space before it."""
+        out = list(map(self._kept.get, words))
+        new = [w for w, ids in zip(words, out) if ids is None]
+        if new:
+            if len(self._kept) + len(new) > CACHE_WORDS:
+                self._kept.clear()
+            self._learn(new)
+            out = [self._kept[w] if ids is None else ids for w, ids in zip(words, out)]
+            for w in new:
+                if len(w) > CACHE_LENGTH:
+                    del self._kept[w]
+        return out
+
+    def _slow(self, text: str) -> bytes:
+        first, *words = re.split(r" (?=\S)", text)
+        return b"".join([self._first(first), *(self._ids(f" {w}").tobytes() for w in words)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [re.split(r" (?=\S)", text) if _awkward(text) else text.split(" ") for text in texts]
-        new = set(chain.from_iterable(words[1:] for words in split)).difference(self._kept)
-        long = {w for w in new if len(w) > CACHE_LENGTH}
-        if len(self._kept) + len(new) > CACHE_WORDS:
-            self._kept.clear()
-            new = set(chain.from_iterable(words[1:] for words in split))
-        spaced = {w for w in new if " " in w}
-        self._learn(list(new - spaced))
-        self._kept.update((w, self._ids(f" {w}").tobytes()) for w in spaced)
-        get = self._kept.__getitem__
-        out = [b"".join([self._first(words[0]), *map(get, words[1:])]) for words in split]
-        for w in long:
-            self._kept.pop(w, None)
-        return out
+        plain = [t for t in texts if not _awkward(t)]
+        ready = iter(self._plain(plain) if plain else [])
+        return [self._slow(t) if _awkward(t) else next(ready) for t in texts]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for texts whose spaces are all places to cut: words are numbered, looked up once and laid out."""
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        edges, coded = split.offsets.to_numpy(), split.values.dictionary_encode()
+        which, firsts = coded.indices.to_numpy().astype(np.int64), edges[:-1]
+        later = np.ones(len(which), bool)
+        later[firsts] = False
+        needed = np.flatnonzero(np.bincount(which[later], minlength=len(coded.dictionary)))
+        parts = self._looked_up(coded.dictionary.take(pa.array(needed)).to_numpy(zero_copy_only=False).tolist())
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[needed] = np.arange(len(needed))
+        which = place[which]
+        which[firsts] = len(needed) + np.arange(len(texts))
+        parts += [self._first(t.split(" ", 1)[0]) for t in texts]
+        pool, lengths = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin, count = np.cumsum(lengths) - lengths, lengths[which]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = pool[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])]
+        cuts = total[edges].tolist()
+        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
 
 #: A space before white space or at the end: a place where the text may not be cut.
