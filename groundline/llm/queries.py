@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, simhash, token_output, toxicity, warc
+from . import chat, exact_dedup, mixing, simhash, substring_dedup, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 
