@@ -1,9 +1,9 @@
 """Operator 7: removal of byte strings that occur again, by enhanced suffix arrays.
 
 Runs of windows are settled or left open as described in ``repeats``. The open
-ones are indexed shard by shard: a suffix array by prefix doubling, the common
-prefixes of neighbours, and a stack scan that builds the tree of common-prefix
-intervals. An interval whose suffixes are preceded by different bytes (or by
+ones are indexed shard by shard: a suffix array of the suffixes that share
+``length`` bytes with another, the common prefixes of neighbours, and a stack
+scan that builds the tree of common-prefix intervals. An interval whose suffixes are preceded by different bytes (or by
 none) is a maximal repeat; it is reported with all its occurrences, not just
 neighbours: each suffix names its deepest interval and each interval its parent.
 
@@ -70,17 +70,60 @@ def spread_ranks(values: np.ndarray) -> np.ndarray:
     return rank
 
 
-def common_prefixes(values: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it (0 for the first)."""
-    out = np.zeros(len(order), dtype=np.int64)
-    live = np.arange(1, len(order))
+def _eight(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as numbers that compare like them."""
+    return np.ndarray(shape=(len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
+
+
+def repeated_suffixes(data: bytes, ends: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``starts`` that share ``least`` bytes with another: in order, with common prefixes.
+
+    ``ends`` has the end of each suffix's string. Suffixes are put together by
+    a hash of their first ``least`` bytes and then sorted by what follows,
+    eight bytes a round, in which only those still alike take part. A common
+    prefix under ``least`` counts as 0.
+    """
+    x = symbols(data)
+    up, down = repeats.powers(len(x) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(x * up[: len(x)], out=sums[1:])
+        head = repeats.mix((sums[starts + least] - sums[starts]) * down[starts])
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    same = head[1:] == head[:-1]
+    held = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    at, rank = starts[order][held], np.cumsum(np.concatenate([[True], ~same]))[held]
+    end = ends[order][held]
+    if not len(at):
+        return at, at
+    eight = _eight(data + bytes(8))
+    first = np.concatenate([[True], rank[1:] != rank[:-1]])
+    rank = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    place = np.arange(len(at))  # suffixes in their present order
+    lcp = np.where(first, 0, least)
+    live, depth = np.arange(len(at)), least
     while len(live):
-        a, b = order[live - 1] + out[live], order[live] + out[live]
-        ok = (a < len(values)) & (b < len(values))
-        ok[ok] = values[a[ok]] == values[b[ok]]
-        live = live[ok]
-        out[live] += 1
-    return out
+        who = place[live]
+        left = np.minimum(end[who] - at[who] - depth, 8)
+        key = eight[np.minimum(at[who] + depth, len(data))].astype(np.uint64)
+        cut = left < 8
+        key[cut] &= ~(np.iinfo(np.uint64).max >> (np.maximum(left[cut], 0) * 8).astype(np.uint64))
+        order = np.lexsort((left, key, rank[live]))
+        who, key, left = who[order], key[order], left[order]
+        place[live] = who
+        block = np.concatenate([[True], rank[live][1:] != rank[live][:-1]])
+        apart = np.concatenate([[0], key[1:] ^ key[:-1]]).astype(np.uint64)
+        zero = np.full(len(live), 8)
+        for k in range(8):
+            zero[(apart >> np.uint64(8 * k)) > 0] = 7 - k
+        shared = np.minimum(zero, np.minimum(left, np.concatenate([[8], left[:-1]])))
+        lcp[live[~block]] = depth + shared[~block]
+        split = block | (shared < 8)
+        rank[live] = live[np.maximum.accumulate(np.where(split, np.arange(len(live)), 0))]
+        alone = split & np.concatenate([split[1:], [True]])
+        live, depth = live[~alone], depth + 8
+    return at[place], lcp
 
 
 def intervals(lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[list[tuple[int, int, int, int, bool]], np.ndarray]:
@@ -122,37 +165,25 @@ def intervals(lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[list[tup
     return [tuple(x[:5]) for x in found], deepest
 
 
-def _shard(rows: list[tuple[int, int, int, bytes]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, np.ndarray]:
-    """Suffix order of a shard's strings: owner and place of each suffix, its intervals."""
+def _shard(rows: list[tuple[int, int, int, bytes]], least: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """Suffixes of a shard's strings that occur again: owner and place of each, and their intervals."""
     lengths = np.array([len(r[3]) for r in rows], dtype=np.int64)
-    total = int(lengths.sum()) + len(rows)
-    values = np.empty(total, dtype=np.int64)
-    ends = np.cumsum(lengths + 1)
-    begin = ends - lengths - 1
-    inner = np.ones(total, bool)
-    inner[ends - 1] = False
-    values[inner] = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-    values[ends - 1] = 256 + np.arange(len(rows))
-    owner = np.repeat(np.arange(len(rows)), lengths + 1)
-    place = np.arange(total) - begin[owner]
-    starts = np.flatnonzero(place + least <= lengths[owner])
-    order = suffix_order(values, starts, int(lengths.max()) + 1)
-    lcp = common_prefixes_from(values, order, least)
-    before = np.where(place[order] > 0, values[order - 1], -1 - order)
+    data, ends = b"".join(r[3] for r in rows), np.cumsum(lengths)
+    windows = np.maximum(lengths - least + 1, 0)
+    owner = np.repeat(np.arange(len(rows)), windows)
+    starts = np.arange(windows.sum()) + np.repeat(ends - lengths - (np.cumsum(windows) - windows), windows)
+    order, lcp = repeated_suffixes(data, ends[owner], starts, least)
+    owner = np.searchsorted(ends, order, side="right")
+    place = order - (ends - lengths)[owner]
+    left = np.frombuffer(data, dtype=np.uint8)
+    before = np.where(place > 0, left[order - 1].astype(np.int64), -1 - order)
     found, deepest = intervals(lcp, before, least)
-    return owner[order], place[order], lcp, found, deepest
-
-
-def common_prefixes_from(values: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """``common_prefixes``, with 0 for pairs that share less than ``least``."""
-    lcp = common_prefixes(values, order)
-    lcp[lcp < least] = 0
-    return lcp
+    return owner, place, found, deepest
 
 
 def maximal_repeats(rows: list[tuple[int, int, int, bytes]], least: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
     """(length, [(row number, place)]) of every maximal repeat of the strings in ``rows`` (id, h, at, data)."""
-    owner, place, _, found, _ = _shard(rows, least)
+    owner, place, found, _ = _shard(rows, least)
     return [(n, sorted(zip(owner[a:b].tolist(), place[a:b].tolist()))) for n, a, b, _, diverse in found if diverse]
 
 
@@ -163,7 +194,7 @@ def repeat_groups(rows: DataFrame, least: int = LENGTH) -> DataFrame:
         held = [(r["id"], r["h"], r["at"], r["data"]) for batch in batches for r in batch.to_pylist()]
         if not held:
             return
-        owner, place, _, found, deepest = _shard(held, least)
+        owner, place, found, deepest = _shard(held, least)
         length = np.array([f[0] for f in found] + [0], dtype=np.int64)
         diverse = np.array([f[4] for f in found] + [False], dtype=bool)
         inside = np.flatnonzero(diverse[deepest])
