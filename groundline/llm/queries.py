@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, simhash, substring_dedup, suffix_dedup, token_output, toxicity, warc
+from . import chat, decontaminate, exact_dedup, mixing, simhash, substring_dedup, suffix_dedup, token_output, toxicity, warc
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 SQL = {**chat.SQL, **warc.SQL, **exact_dedup.SQL, **mixing.SQL}
