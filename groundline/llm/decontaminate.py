@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,17 +36,21 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, BLOCKS = 16, 4  # words a block; blocks a passage
-RANK, EXTRA = 96, 16
-COSINE, COVERED, ANSWER = 0.4, 0.6, 0.5
+BLOCK, BLOCKS = 20, 3  # words a block; blocks a passage
+RANK, EXTRA = 64, 8
+COSINE, COVERED, ANSWER = 0.5, 0.6, 0.5
 COMMON = 0.1  # terms in more than this share of passages say nothing
 MIN_WORDS = 5
 MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
 _BUCKET = 256
 
 
-def words_of(text: str | None) -> list[str]:
-    return [w for w in (x.strip(MARKS) for x in (text or "").lower().split()) if w]
+_SPACED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKS.encode(), b"abcdefghijklmnopqrstuvwxyz" + b" " * len(MARKS))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words without marks; A-Z is lower-cased."""
+    return (text or "").encode().translate(_SPACED).split()
 
 
 def answer_of(text: str) -> str:
@@ -56,31 +61,18 @@ def answer_of(text: str) -> str:
     return sentences[-1] if sentences else text
 
 
-class Coder(dict):
-    """Numbers of raw words, by the benchmark's terms; 0 for any other. The table of seen words is bounded."""
-
-    def __init__(self, terms: dict[str, int], limit: int = 500_000):
-        super().__init__()
-        self.terms, self.limit = terms, limit
-
-    def __missing__(self, raw: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[raw] = k = self.terms.get(raw.strip(MARKS), 0)
-        return k
-
-    def code(self, text: str) -> np.ndarray:
-        raw = text.lower().split()
-        return np.fromiter(map(self.__getitem__, raw), dtype=np.uint32, count=len(raw))
+def code(text: str, terms: dict[bytes, int]) -> np.ndarray:
+    """The number of each word's term; 0 for words that no item has."""
+    words = words_of(text)
+    return np.fromiter(map(terms.get, words, repeat(0)), dtype=np.uint32, count=len(words))
 
 
-def coded(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+def coded(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """doc_id, h (a hash of the text) and ids (32-bit term numbers) of every row, written."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(terms)
         for batch in batches:
-            ids = [coder.code(t.as_py()).tobytes() for t in batch.column(2)]
+            ids = [code(t.as_py(), terms).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
 
     text = common.text_or_empty()
@@ -89,21 +81,20 @@ def coded(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
 
 
 def _blocks(all_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term numbers and block of each word of several documents, and each document's first block (one more at the end)."""
-    counts = np.array([max(1, -(-len(x) // BLOCK)) for x in all_ids])
+    """Term numbers and block of each word of several documents, and each document's first block (one more at the end).
+
+    Empty blocks between documents keep passages, BLOCKS blocks each, apart.
+    """
+    counts = np.array([max(1, -(-len(x) // BLOCK)) + BLOCKS - 1 for x in all_ids])
     first = np.concatenate([[0], np.cumsum(counts)])
     ids = np.concatenate(all_ids).astype(np.int64)
-    block = np.concatenate([f + np.arange(len(x)) // BLOCK for f, x in zip(first, all_ids)]).astype(np.int64)
+    lengths = np.array([len(x) for x in all_ids])
+    within = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    block = np.repeat(first[:-1], lengths) + within // BLOCK
     keep = ids > 0
     return ids[keep], block[keep], first
 
 
-def _passages(first: np.ndarray) -> np.ndarray:
-    """First block of each passage: every block of a document from which a full passage starts, or its first."""
-    sizes = np.maximum(np.diff(first) - BLOCKS + 1, 1)
-    return np.repeat(first[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
-
-
 def _summed(ids: np.ndarray, block: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
     """Sum of ``rows[ids]`` in each block, (n, k)."""
     out = np.zeros((n, rows.shape[1]), dtype=np.float32)
@@ -113,11 +104,12 @@ def _summed(ids: np.ndarray, block: np.ndarray, n: int, rows: np.ndarray) -> np.
     return out
 
 
-def _windows(blocks: np.ndarray, start: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of the blocks of each passage; short documents end early."""
-    sums = np.concatenate([np.zeros((1, blocks.shape[1]), dtype=np.float64), np.cumsum(blocks, axis=0, dtype=np.float64)])
-    stop = np.minimum(start + BLOCKS, np.repeat(first[1:], sizes))
-    return (sums[stop] - sums[start]).astype(np.float32)
+def _windows(blocks: np.ndarray) -> np.ndarray:
+    """Sums of BLOCKS neighbours: the passage that begins at each block but the last ones."""
+    out = blocks[: len(blocks) - BLOCKS + 1].copy()
+    for k in range(1, BLOCKS):
+        out += blocks[k : len(blocks) - BLOCKS + 1 + k]
+    return out
 
 
 def _batches(batches: Iterable[pa.RecordBatch], column: int, words: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -165,16 +157,12 @@ def _added(rows: DataFrame, terms: int, width: int, basis: np.ndarray, idf: np.n
             ids, block, first = _blocks(held)
             rare = idf[ids] > 0
             ids, block = ids[rare], block[rare]
-            start, sizes = _passages(first)
-            y = _windows(_summed(ids, block, int(first[-1]), weighted), start, first, sizes)
-            norm = _windows(_summed(ids, block, int(first[-1]), squares), start, first, sizes)
-            y /= np.maximum(norm, 1e-6)
+            y = _windows(_summed(ids, block, int(first[-1]), weighted))
+            y /= np.maximum(_windows(_summed(ids, block, int(first[-1]), squares)), 1e-6)
             # what each block gives back: the sum over the passages that it is in
-            back = np.zeros((int(first[-1]) + 1, width))
-            np.add.at(back, start, y)
-            stop = np.minimum(start + BLOCKS, np.repeat(first[1:], sizes))
-            np.subtract.at(back, stop, y)
-            back = np.cumsum(back, axis=0).astype(np.float32)
+            around = np.zeros((len(y) + 2 * (BLOCKS - 1), width), dtype=np.float32)
+            around[BLOCKS - 1 : BLOCKS - 1 + len(y)] = y
+            back = _windows(around)
             order = np.argsort(ids, kind="stable")
             ids, block = ids[order], block[order]
             if len(ids):
@@ -268,10 +256,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     projected = (vectors * idf[:, None]).astype(np.float32)
     wanted = sought.T.astype(np.float32)
 
+    member = {k: np.isin(np.arange(len(terms) + 1), words) for k, (words, _) in enumerate(items)} if len(items) * len(terms) < 1 << 28 else None
+
     def decide(k: int, words: np.ndarray) -> tuple[float, float] | None:
         item, its_answer = items[k]
         if len(item) < MIN_WORDS:
             return (1.0, 1.0) if _whole(item, words) else None
+        if member and np.count_nonzero(member[k][words]) < least * len(item):
+            return None  # too few of its words are there, in whatever order
         near = words.tolist()
         covered = lcs(item, near) / len(item)
         of_answer = lcs(its_answer, near) / max(1, len(its_answer))
@@ -280,11 +272,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, held in _batches(batches, 2):
             ids, block, first = _blocks(held)
-            start, sizes = _passages(first)
             rare = idf[ids] > 0
-            found = _windows(_summed(ids[rare], block[rare], int(first[-1]), projected), start, first, sizes)
+            found = _windows(_summed(ids[rare], block[rare], int(first[-1]), projected))
+            start = np.flatnonzero(found.any(axis=1))
+            found = found[start]
             found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
-            owner = np.repeat(np.arange(len(held)), sizes)
+            owner = np.searchsorted(first, start, side="right") - 1
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for begin in range(0, len(found), 20_000):
                 score = found[begin : begin + 20_000] @ wanted
