@@ -137,7 +137,7 @@ _CORPUS = {
     "users_of": (users_of, "select report_id, parent, string_agg(id, ',' order by id) as users from edges group by all"),
     "c5_unknown_parents": (c5_unknown_parents, "select report_id, id, parent from edges e where not exists (select 1 from nodes n where n.report_id = e.report_id and n.id = e.parent)"),
     "c6_cycles": (c6_cycles, "select report_id, id from closed where id = below"),
-    "c1_unbound": (c1_unbound, "select report_id, id, step from nodes n where step <> 'source' and id <> (select min(id) from nodes f where f.report_id = n.report_id and f.step = 'figure')"),
+    "c1_unbound": (c1_unbound, "select report_id, id, step from nodes n where step <> 'source' and id <> coalesce((select min(id) from nodes f where f.report_id = n.report_id and f.step = 'figure'), '')"),
 }
 
 # --- a report that runs over the tables -----------------------------------
@@ -216,7 +216,7 @@ def display_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice").cast("decimal(18,2)")
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "$").otherwise(""), F.when(F.col("o_orderkey") % 2 == 0, F.format_number(price, 2)).otherwise(price.cast("string")), F.when(F.col("o_orderkey") % 5 == 0, " %").when(F.col("o_orderkey") % 7 == 0, " pp").otherwise(""))
     number, decimals, percent = numbers.display_columns(F.col("shown"))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("shown")).select("o_orderkey", number.alias("number"), decimals.alias("decimals"), percent.alias("percent"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("shown")).select("o_orderkey", number.alias("number"), F.coalesce(decimals, F.lit(-1)).alias("decimals"), percent.alias("percent"))
 
 
 def _query_text() -> Column:
@@ -275,7 +275,7 @@ _DISPLAY_SQL = "'^([+\\-−])?[$€£¥]?#?(\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.(\\d
 _TEXTS = {
     "display_number": (display_number, f"""with t as (select o_orderkey, (case when o_orderkey % 3 = 0 then '$' else '' end) || (case when o_orderkey % 2 = 0 then format('{{:,.2f}}', cast(o_totalprice as decimal(18,2))::double) else cast(cast(o_totalprice as decimal(18,2)) as varchar) end) || (case when o_orderkey % 5 = 0 then ' %' when o_orderkey % 7 = 0 then ' pp' else '' end) as s from orders)
 select o_orderkey, case when regexp_matches(s, {_DISPLAY_SQL}) then cast(replace(regexp_extract(s, {_DISPLAY_SQL}, 2), ',', '') || '.' || regexp_extract(s, {_DISPLAY_SQL}, 3) as double) end as number,
-case when regexp_matches(s, {_DISPLAY_SQL}) then cast(len(regexp_extract(s, {_DISPLAY_SQL}, 3)) as integer) end as decimals, case when regexp_matches(s, {_DISPLAY_SQL}) then regexp_extract(s, {_DISPLAY_SQL}, 4) <> '' end as percent from t"""),
+case when regexp_matches(s, {_DISPLAY_SQL}) then cast(len(regexp_extract(s, {_DISPLAY_SQL}, 3)) as integer) else -1 end as decimals, case when regexp_matches(s, {_DISPLAY_SQL}) then regexp_extract(s, {_DISPLAY_SQL}, 4) <> '' end as percent from t"""),
     "sql_style": (sql_style, "select p_partkey, p_partkey % 4 in (0, 3) as star, case when p_partkey % 3 = 0 then 'CURRENT_DATE' else '' end as clock, true as names_parent from part"),
     "mask_sql": (mask_sql, "select p_partkey, 'a ' || repeat(' ', len(p_name) + 6) || ' = ''' || repeat(' ', len(p_type)) || ''' ' || repeat(' ', len(p_brand) + 3) as masked from part"),
     "expr_refs": (expr_refs, "select p_partkey, (case when p_size % 2 = 0 then 'f2,f1' else 'f1' end) || (case when p_size % 3 = 0 then ',f3' else '' end) as refs from part"),
