@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK, BLOCKS = 20, 3  # words a block; blocks a passage
+BLOCK, BLOCKS = 30, 2  # words a block; blocks a passage
 RANK, EXTRA = 48, 8
 COSINE, COVERED, ANSWER = 0.55, 0.6, 0.5
 COMMON = 0.1  # terms in more than this share of passages say nothing
