@@ -50,7 +50,9 @@ MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
 #: A short public list of insults; the mined terms add what the labelled rows show.
 WORD_LIST = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "dumb", "imbecile", "cretin", "bastard", "bitch", "slut", "whore", "vermin", "retard", "asshole", "dummkopf", "arschloch", "abschaum", "connard", "salope", "ordure", "gilipollas", "cabrón", "escoria")
 PATTERNS = ("shouting", "marks", "repetition")
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 300_000
+#: Counts that a task holds before it passes them on.
+FLUSH = 150_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -126,9 +128,16 @@ def mine(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, contexts = Counter(), set()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for names, at, n in (([t for t, _ in contexts], [h for _, h in contexts], [0] * len(contexts)), ([*clean], [None] * len(clean), [*clean.values()])):
+                yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "at": pa.array(at, pa.int64()), "c": pa.array(n, pa.int64())})
+            clean.clear()
+            contexts.clear()
+
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = ["", *text.lower().split(), ""]
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                words = ["", *text.as_py().lower().split(), ""]
                 if label:
                     first: dict[str, int] = {}
                     for w, k in dict(zip(reversed(words[1:-1]), range(len(words) - 2, 0, -1))).items():
@@ -137,8 +146,9 @@ def mine(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
                     contexts.update((t, hash_of(words[k - 1], words[k + 1])) for t, k in first.items())
                 else:
                     clean.update({t for w in set(words) for t in terms_of(w)})
-        for names, at, n in (([t for t, _ in contexts], [h for _, h in contexts], [0] * len(contexts)), ([*clean], [None] * len(clean), [*clean.values()])):
-            yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "at": pa.array(at, pa.int64()), "c": pa.array(n, pa.int64())})
+                if len(contexts) + len(clean) > FLUSH:
+                    yield from flushed()
+        yield from flushed()
 
     size, bad = (int(x or 0) for x in rows.agg(F.count("toxic"), F.sum("toxic")).first())
     if not bad or bad == size:
