@@ -49,8 +49,9 @@ _SPACED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKS.encode(), b"abcd
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words without marks; A-Z is lower-cased."""
-    return (text or "").encode().translate(_SPACED).split()
+    """Lower-case words without marks."""
+    text = text or ""
+    return (text if text.isascii() else text.lower()).encode().translate(_SPACED).split()
 
 
 def answer_of(text: str) -> str:

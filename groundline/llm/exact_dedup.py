@@ -50,10 +50,12 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: int =
     light = common.written(light, "exact-light")
     alike = survivors(survivors(light, ["n"]), ["n", "p"])
     if not digest_all:
-        full = docs.select("doc_id", text.alias("text")).join(alike.select("doc_id").distinct(), "doc_id", "left_semi")
-        full = full.select("doc_id", _digest(F.col("text")).alias("text_sha256"), F.octet_length("text").alias("n"), F.xxhash64(common.ascii_lower(F.substring("text", 1, prefix_chars))).alias("p"))
-        light = light.join(full.distinct(), ["doc_id", "n", "p"], "left")
-        alike = light.where("text_sha256 is not null")
+        pairs, ids = alike.select("n", "p").distinct(), alike.select(F.col("doc_id").alias("id")).distinct()
+        full = docs.select("doc_id", text.alias("text"))
+        full = full.join(ids, full["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+        full = full.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64(common.ascii_lower(F.substring("text", 1, prefix_chars))).alias("p"), _digest(F.col("text")).alias("text_sha256"))
+        alike = full.join(pairs, ["n", "p"], "left_semi")
+        light = light.join(pairs, ["n", "p"], "left_anti").withColumn("text_sha256", F.lit(None).cast("string")).unionByName(alike)
     groups = alike.groupBy("text_sha256").agg(F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).where("size > 1")
     out = light.join(groups, "text_sha256", "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("last"))
@@ -62,8 +64,8 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: int =
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` drops; all columns stay."""
-    dropped = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,8 @@ class LabelModel:
     """Two-class mixture over voters that fire or abstain: accuracies by EM, then correlations."""
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, prior: float, trusted: np.ndarray, rounds: int = 100) -> LabelModel:
+        # a lexicon voter is taken to fire on half the toxic texts and hardly any other until counts say more
+        expected = np.where(trusted, 2.0, 0.5)
         votes, n = patterns.astype(float), counts.astype(float)
         q = np.where(votes[:, trusted].any(axis=1), 0.9, 0.02)
         self.weights = np.ones(votes.shape[1])
@@ -176,7 +178,7 @@ class LabelModel:
         for step in range(2):
             for _ in range(rounds):
                 on, off = n * q, n * (1 - q)
-                self.fires = np.stack([(votes.T @ off + 0.02) / (off.sum() + 1), (votes.T @ on + 0.5) / (on.sum() + 1)])
+                self.fires = np.stack([(votes.T @ off + 0.02) / (off.sum() + 2 * expected), (votes.T @ on + expected) / (on.sum() + 2 * expected)])
                 new = self.posterior(votes)
                 done, q = np.abs(new - q).max() < 1e-6, new
                 if done:
@@ -259,7 +261,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
         x[k, len(terms) : len(terms) + len(PATTERNS)] = r["patterns"]
         if r["found"]:
             x[k, -2:] = 1, math.log(len(r["found"]))
-    model = LabelModel().fit(votes, counts, prior, np.arange(votes.shape[1]) <= GROUPS)
+    fired = votes.any(axis=0) | (np.arange(votes.shape[1]) == 0)  # a voter that never fires has nothing to say
+    votes, lexicons = votes[:, fired], (np.arange(votes.shape[1]) <= GROUPS)[fired]
+    model = LabelModel().fit(votes, counts, prior, lexicons)
     used = np.append(np.flatnonzero(x.any(axis=0)), x.shape[1])
     weights = np.zeros(x.shape[1] + 1)
     weights[used] = logistic(x[:, used[:-1]], model.posterior(votes.astype(float)), counts)
