@@ -36,10 +36,12 @@ from .seekable import Reader, Writer
 END_ID = 0
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
-CACHE_WORDS, CACHE_LENGTH = 700_000, 48
+CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 
 #: Documents whose new words are encoded together.
 BATCH_DOCS = 4000
+#: Documents whose ids are laid out together.
+LAYOUT_DOCS = 250
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_frames int, n_bytes long"
 READ = "doc_id long, shard int, frame int, place long, n_tokens long, ids_crc32 long"
@@ -133,11 +135,16 @@ class Encoder:
         which[firsts] = len(needed) + np.arange(len(texts))
         parts += [self._first(t.split(" ", 1)[0]) for t in texts]
         pool, lengths = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begin, count = np.cumsum(lengths) - lengths, lengths[which]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])]
-        cuts = total[edges].tolist()
-        return [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+        begin, out = np.cumsum(lengths) - lengths, []
+        for a in range(0, len(texts), LAYOUT_DOCS):
+            here = edges[a : a + LAYOUT_DOCS + 1]
+            some = which[here[0] : here[-1]]
+            count = lengths[some]
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = pool[np.repeat(begin[some] - total[:-1], count) + np.arange(total[-1])]
+            cuts = total[here - here[0]].tolist()
+            out += [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+        return out
 
 
 #: A space before white space or at the end: a place where the text may not be cut.
