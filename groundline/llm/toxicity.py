@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -49,6 +50,7 @@ GROUPS = 6
 MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
 #: A short public list of insults; the mined terms add what the labelled rows show.
 WORD_LIST = ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "trash", "clown", "dumb", "imbecile", "cretin", "bastard", "bitch", "slut", "whore", "vermin", "retard", "asshole", "dummkopf", "arschloch", "abschaum", "connard", "salope", "ordure", "gilipollas", "cabrón", "escoria")
+_ASCII = re.compile(r"[\x00-\x7f]+")
 PATTERNS = ("shouting", "marks", "repetition")
 _KEPT_WORDS = 300_000
 #: Counts that a task holds before it passes them on.
@@ -67,9 +69,22 @@ def hash_of(*words: str) -> int:
     return xxhash.xxh64_intdigest("\n".join(words)) >> 1
 
 
+_NOT_LETTERS = bytes(k for k in range(256) if not chr(k).isalpha() or k > 127)
+_NOT_CAPITALS = bytes(k for k in range(256) if not 65 <= k <= 90)
+
+
+def letters_of(text: str) -> tuple[int, int]:
+    """How many letters and how many capitals a text has."""
+    data = text.encode("utf-8", "surrogatepass")
+    letters, capitals = len(data.translate(None, _NOT_LETTERS)), len(data.translate(None, _NOT_CAPITALS))
+    if len(data) == len(text):
+        return letters, capitals
+    others = Counter(_ASCII.sub("", text))
+    return letters + sum(n for c, n in others.items() if c.isalpha()), capitals + sum(n for c, n in others.items() if c.isupper())
+
+
 def patterns_of(text: str, words: list[str]) -> list[bool]:
-    letters = sum(map(str.isalpha, text[:2000]))
-    capitals = sum(map(str.isupper, text[:2000]))
+    letters, capitals = letters_of(text)
     return [letters > 20 and capitals > 0.6 * letters, text.count("!!") + text.count("??") > 2, len(words) > 20 and len(set(words)) < 0.3 * len(words)]
 
 
