@@ -15,8 +15,8 @@ from groundline.llm import common, decontaminate, mixing, simhash, token_output,
 #: SQL can express neither the classifier nor the fingerprints.
 ORACLE_SQL = None
 
-#: Fingerprints of five-word shingles that differ in at most 7 of 64 bits have an estimated cosine of 0.94 or more.
-NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS = 5, 7, 4
+#: One 64-bit fingerprint puts about a quarter of the pairs with a Jaccard similarity of 0.8 within 7 bits, so several are looked up.
+NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS = 5, 7, 4, 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; rows without id stay if one of them is in no other's group."""
-    groups = simhash.linked(docs, NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS)
+    groups = simhash.linked(docs, NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 

@@ -23,7 +23,7 @@ gives no row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,24 +64,43 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The SimHash of a text as an unsigned number; a bit is set if more than half the shingle hashes have it."""
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The shingle hashes of the k-th fingerprint: as they are for 0, else put through a 64-bit finaliser."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints_of(text: str | None, words: int = WORDS, count: int = 1) -> list[int]:
+    """``count`` SimHashes of a text as unsigned numbers; a bit is set if more than half the shingle hashes have it."""
     hashes = _shingle_hashes(text or "", words)
     if not len(hashes):
-        return 0
-    bits = bit_counts(hashes) * 2 > len(hashes)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        return [0] * count
+    return [int(np.packbits(bit_counts(remixed(hashes, k)) * 2 > len(hashes), bitorder="little").view("<u8")[0]) for k in range(count)]
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return fingerprints_of(text, words)[0]
+
 
+def print_names(count: int) -> list[str]:
+    return ["fp", *(f"fp{k}" for k in range(1, count))]
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+
+def fingerprints(docs: DataFrame, words: int = WORDS, count: int = 1) -> DataFrame:
+    """doc_id and fp, fp1, ... (the fingerprints as signed longs) of every row."""
+    names = print_names(count)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprints_of(t.as_py(), words, count) for t in batch.column(1)], dtype=np.uint64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(count))], ["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", *(f"{name} long" for name in names)])
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -284,15 +303,35 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def linked(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, segments: int = SEGMENTS, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """doc_id, fp and component_id of every row; the id is the least doc_id of the component."""
-    prints = common.written(fingerprints(docs, words), "simhash-prints")
+def _further_links(prints: DataFrame, name: str, distance: int, segments: int) -> DataFrame:
+    """(a, b): links by fingerprint ``name``, between values of ``fp``.
+
+    Each value of ``name`` stands for the least ``fp`` that it occurs with; the
+    others that it occurs with are linked to that one.
+    """
+    pairs = common.written(prints.select("fp", name).distinct(), "simhash-pairs")
+    owners = common.written(pairs.groupBy(name).agg(F.min("fp").alias("owner")), "simhash-owners")
+    found = links(owners.select(F.col(name).alias("fp")), distance, segments)
+    of = lambda side: owners.select(F.col(name).alias(side), F.col("owner").alias(f"owner_{side}"))
+    named = found.join(of("a"), "a").join(of("b"), "b").select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b"))
+    return named.unionByName(pairs.join(owners, name).where("fp <> owner").select(F.col("fp").alias("a"), F.col("owner").alias("b")))
+
+
+def linked(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, segments: int = SEGMENTS, count: int = 1) -> DataFrame:
+    """doc_id, fp and component_id of every row; the id is the least doc_id of the component.
+
+    With ``count`` fingerprints, rows are linked if any of these is within
+    ``distance``: what one misses by chance, another may find.
+    """
+    prints = common.written(fingerprints(docs, words, count), "simhash-prints")
     nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     found = links(nodes, distance, segments)
+    for name in print_names(count)[1:]:
+        found = found.unionByName(_further_links(prints, name, distance, segments))
     joined = nodes.join(components(found), nodes["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     names = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -268,6 +268,39 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.lcs([1, 2, 3, 2], [3, 1, 2, 2]) == 3
 
 
+def test_several_fingerprints_link_what_any_of_them_does(spark, empty):
+    rng, texts = np.random.default_rng(3), []
+    for k in range(12):
+        base = [f"w{k}x{j}" for j in rng.integers(0, 5000, 120)]
+        for _ in range(6):
+            some = list(base)
+            for at in rng.integers(0, 120, 3):
+                some[at] = f"n{rng.integers(0, 10**9)}"
+            texts.append(" ".join(some))
+    texts += ["", None, texts[0], "one"]
+    rows = [(k, t, "extra") for k, t in enumerate(texts)] + [(None, texts[1], "extra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp1 string")
+    got = {r.doc_id: r.component_id for r in simhash.linked(docs, 5, 7, 4, 3).collect()}
+    prints = [simhash.fingerprints_of(t, 5, 3) for t in texts]
+    forest = simhash.Forest()
+    for a in range(len(texts)):
+        for b in range(a):
+            if any((x ^ y).bit_count() <= 7 for x, y in zip(prints[a], prints[b])):
+                forest.join(a, b)
+    assert {k: got[k] for k in range(len(texts))} == {k: forest.root(k) for k in range(len(texts))}
+    assert got[None] == got[1]
+    one = {r.doc_id: r.component_id for r in simhash.linked(docs, 5, 7, 4).collect()}
+    assert len({*got.values()}) < len({*one.values()})
+    assert simhash.linked(empty, 5, 7, 4, 3).count() == 0
+
+
+def test_shouting_is_judged_on_the_whole_text():
+    for text in ("a" * 3000 + "B" * 9000, "Ä" * 50 + "ß日\u01c5 1!", "", "quiet " * 500 + "LOUD " * 40):
+        assert toxicity.letters_of(text) == (sum(map(str.isalpha, text)), sum(map(str.isupper, text)))
+    late = "a" * 3000 + "B" * 9000
+    assert toxicity.patterns_of(late, [late])[0]
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(1, 0), (7, 0), (8, 0), (13, 1), (13, 0), (None, 1), (11, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
