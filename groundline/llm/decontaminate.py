@@ -78,7 +78,7 @@ def coded(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
 
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return common.written(rows.mapInArrow(run, "doc_id long, h long, ids binary"), "latent-coded")
+    return common.written(rows.transform(common.in_arrow, run, "doc_id long, h long, ids binary"), "latent-coded")
 
 
 def _blocks(all_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def frequencies(rows: DataFrame, terms: int) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["term", "n"])
 
-    got = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    got = rows.select("ids").transform(common.in_arrow, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros(terms + 1, dtype=np.int64), 0
     for r in got:
         if r["term"] < 0:
@@ -178,7 +178,7 @@ def _added(rows: DataFrame, terms: int, width: int, basis: np.ndarray, idf: np.n
         return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "salt": [part["salt"].iloc[0]], "block": [total.tobytes()]})
 
     schema = "bucket long, salt long, block binary"
-    sums = rows.select("ids").mapInArrow(run, schema).groupBy("bucket", "salt").applyInPandas(add, schema)
+    sums = rows.select("ids").transform(common.in_arrow, run, schema).groupBy("bucket", "salt").applyInPandas(add, schema)
     out = np.zeros((terms + 1, width))
     for r in sums.groupBy("bucket").applyInPandas(add, schema).collect():
         part = np.frombuffer(r["block"]).reshape(-1, width)
@@ -297,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             at = pa.array([d for d, _ in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([numbers[k] for _, k in keys], pa.int64()), *(pa.array([best[x][c] for x in keys], pa.float64()) for c in range(3))], ["doc_id", "h", "item_id", "cosine", "covered", "answer_covered"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(common.in_arrow, run, schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, count: int = 1) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(count))], ["doc_id", *names])
 
     schema = ", ".join(["doc_id long", *(f"{name} long" for name in names)])
-    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).transform(common.in_arrow, run, schema)
 
 
 def _segments(count: int) -> list[tuple[int, int]]:
@@ -138,7 +138,7 @@ def entries(nodes: DataFrame, distance: int, segments: int) -> DataFrame:
                         cut = slice(at, at + _CHUNK)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), k, np.int32)), pa.array(keys[cut].view(np.int64)), pa.array(who[cut].view(np.int64)), pa.array(probe[cut])], ["segment", "key", "fp", "probe"])
 
-    return nodes.select("fp").mapInArrow(run, "segment int, key long, fp long, probe boolean")
+    return nodes.select("fp").transform(common.in_arrow, run, "segment int, key long, fp long, probe boolean")
 
 
 class Forest:
@@ -225,7 +225,7 @@ def _bucket_links(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
             yield flush(tail, np.array([0]))
 
     spread = rows.select(*keys, "fp", "probe").repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.transform(common.in_arrow, run, "a long, b long")
 
 
 def _pieces(key_bits: int, distance: int) -> list[int]:

@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(ids)], "n_tokens": [n_tokens], "n_frames": pa.array([len(writer.frames)], pa.int32()), "n_bytes": [writer.size]})
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(rows.mapInArrow(shards, MANIFEST), "token-manifest")
+    return common.written(rows.transform(common.in_arrow, shards, MANIFEST), "token-manifest")
 
 
 def _index(reader: Reader) -> pa.Table:
@@ -246,7 +246,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = manifest.withColumn("before", before).select("shard", "path", "before")
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartition(parts, "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, frame int")
+    return placed.repartition(parts, "shard").transform(common.in_arrow, read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, frame int")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

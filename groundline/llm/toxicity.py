@@ -169,7 +169,7 @@ def mine(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     if not bad or bad == size:
         return []
     base = bad / size
-    counts = rows.where("toxic is not null").mapInArrow(count, "term string, at long, c long").groupBy("term", "at").agg(F.sum("c").alias("c"))
+    counts = rows.where("toxic is not null").transform(common.in_arrow, count, "term string, at long, c long").groupBy("term", "at").agg(F.sum("c").alias("c"))
     counts = counts.groupBy("term").agg(F.count("at").alias("t"), F.sum("c").alias("c"))
     counts = common.written(counts.where("t >= 3"), "toxicity-terms")
     tested = max(2, counts.count())
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
             yield pa.RecordBatch.from_pydict({"found": pa.array([sorted(a) for a, _ in out], pa.list_(pa.int32())), "patterns": pa.array([b for _, b in out], pa.list_(pa.bool_())), "toxic": batch.column(1)})
 
     # equal rows are counted, so what comes here is small; max_train bounds it in any case
-    got = rows.mapInArrow(featured, "found array<int>, patterns array<boolean>, toxic int").groupBy("found", "patterns", "toxic").count().collect()
+    got = rows.transform(common.in_arrow, featured, "found array<int>, patterns array<boolean>, toxic int").groupBy("found", "patterns", "toxic").count().collect()
     got = sorted(got, key=lambda r: (r["found"], r["patterns"], -1 if r["toxic"] is None else r["toxic"]))
     if not got:
         return terms, np.append(np.zeros(len(terms) + len(PATTERNS)), [6.0, 1.0, -4.0])
@@ -296,7 +296,7 @@ def scored(docs: DataFrame, terms: list[str], weights: np.ndarray, keep: list[st
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*keep, "score"])
 
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
-    return docs.select(common.text_or_empty().alias("__text"), *keep).mapInArrow(run, schema)
+    return docs.select(common.text_or_empty().alias("__text"), *keep).transform(common.in_arrow, run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
