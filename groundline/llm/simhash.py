@@ -303,18 +303,22 @@ def components(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def _further_links(prints: DataFrame, name: str, distance: int, segments: int) -> DataFrame:
-    """(a, b): links by fingerprint ``name``, between values of ``fp``.
+def _joined_by(prints: DataFrame, labels: DataFrame, name: str, distance: int, segments: int) -> DataFrame:
+    """``labels`` (fp, first, root) with the roots that fingerprint ``name`` links made one.
 
-    Each value of ``name`` stands for the least ``fp`` that it occurs with; the
-    others that it occurs with are linked to that one.
+    Each value of ``name`` stands for the least root that it occurs with; the
+    others are linked to that one. Links within a root are left out, so a large
+    group that an earlier fingerprint has joined costs no further rounds.
     """
-    pairs = common.written(prints.select("fp", name).distinct(), "simhash-pairs")
-    owners = common.written(pairs.groupBy(name).agg(F.min("fp").alias("owner")), "simhash-owners")
+    pairs = common.written(prints.select("fp", name).distinct().join(labels, "fp").select(name, "root").distinct(), "simhash-pairs")
+    owners = common.written(pairs.groupBy(name).agg(F.min("root").alias("owner")), "simhash-owners")
     found = links(owners.select(F.col(name).alias("fp")), distance, segments)
     of = lambda side: owners.select(F.col(name).alias(side), F.col("owner").alias(f"owner_{side}"))
-    named = found.join(of("a"), "a").join(of("b"), "b").select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b"))
-    return named.unionByName(pairs.join(owners, name).where("fp <> owner").select(F.col("fp").alias("a"), F.col("owner").alias("b")))
+    between = found.join(of("a"), "a").join(of("b"), "b").select(F.col("owner_a").alias("a"), F.col("owner_b").alias("b")).where("a <> b")
+    within = pairs.join(owners, name).where("root <> owner").select(F.col("root").alias("a"), F.col("owner").alias("b"))
+    merged = components(between.unionByName(within)).withColumnRenamed("root", "new")
+    moved = labels.join(merged, labels["root"] == F.col("node"), "left").select("fp", "first", F.coalesce("new", "root").alias("root"))
+    return common.written(moved, "simhash-labels")
 
 
 def linked(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, segments: int = SEGMENTS, count: int = 1) -> DataFrame:
@@ -325,12 +329,12 @@ def linked(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, segmen
     """
     prints = common.written(fingerprints(docs, words, count), "simhash-prints")
     nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    found = links(nodes, distance, segments)
+    found = components(links(nodes, distance, segments))
+    labels = nodes.join(found, nodes["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     for name in print_names(count)[1:]:
-        found = found.unionByName(_further_links(prints, name, distance, segments))
-    joined = nodes.join(components(found), nodes["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = joined.join(least, "root").select("fp", "component_id")
+        labels = _joined_by(prints, labels, name, distance, segments)
+    least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = labels.join(least, "root").select("fp", "component_id")
     return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
 
 
