@@ -8,9 +8,11 @@ one compressed blob for each batch and bucket:
 
 1. runs that are equal as a whole (same g and c) settle all their windows; a
    batch settles its own and sends one record for them;
-2. a minimizer with several different runs is open: one run of each kind goes,
-   with the symbols it spans, to a shard by minimizer, and an index there (a
-   suffix array, or an FM-index) decides the single windows;
+2. a minimizer with several different runs is open: one run of each kind goes
+   (if documents are ordered, all that the first document with it holds, unless
+   no document with the minimizer is earlier), with the symbols it spans, to a
+   shard by minimizer, and an index there (a suffix array, or an FM-index)
+   decides the single windows;
 3. covered stretches are gathered for each document and applied to its text.
 
 A task holds the records of a bucket of minimizers. A passage that k documents
@@ -119,7 +121,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 def _groups(r: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records sorted by g and c (and id, if documents are ordered), first places of classes, settled records."""
-    keys = (r["at"], r["id"], r["c"], r["g"]) if ordered else (r["c"], r["g"])
+    keys = (r["at"], r["h"], r["id"], r["c"], r["g"]) if ordered else (r["c"], r["g"])
     r = r[np.lexsort(keys)]
     new = np.ones(len(r), bool)
     new[1:] = (r["g"][1:] != r["g"][:-1]) | (r["c"][1:] != r["c"][:-1])
@@ -203,7 +205,15 @@ def settle(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int,
             size = np.diff(np.append(start, len(classes)))
             unsettled = np.add.reduceat((~settled[first]).astype(int), start) if len(start) else size
             alone = (classes["many"] & TWICE > 0) & ~settled[first]
-            yield _rows(OPEN, classes[np.repeat((size > 1) & (unsettled > 0), size) | alone])
+            opened = np.repeat((size > 1) & (unsettled > 0), size)
+            yield _rows(OPEN, classes[opened | alone])
+            if ordered and len(r):
+                # the first's document may hold the class at more places; they matter where a smaller id has the minimizer too
+                least = np.repeat(np.minimum.reduceat(classes["id"], start), size)
+                more = np.repeat(opened & (classes["id"] > least), np.diff(np.append(first, len(r)))) & ~settled
+                more[first] = False
+                more[1:] &= (r["at"][1:] != r["at"][:-1]) | (r["h"][1:] != r["h"][:-1])
+                yield _rows(OPEN, r[more])
 
     sent = keyed(docs).mapInArrow(send, "bucket int, blob binary")
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))

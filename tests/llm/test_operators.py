@@ -233,6 +233,26 @@ def test_substring(docs, empty):
     assert repeats.apply(empty, substring_dedup.covered(empty), finish, names).count() == 0
 
 
+def test_substring_of_passages_that_a_document_repeats(spark):
+    r = random.Random(17)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    p, q = words(40), words(40)
+    x, y = words(20), words(20)
+    rows = [(1, words(30) + p + words(30)), (2, (x + p + y) * 2 + words(20)), (5, (y + q + x + words(5)) * 3), (5, x + q + y + x + q + y), (4, words(20) + q), (None, (y + p + words(1)) * 3), (None, y + p + y)]
+    got = repeats.apply(spark.createDataFrame([(i, " ".join(w)) for i, w in rows] * 2, "doc_id long, text string"), substring_dedup.covered(spark.createDataFrame([(i, " ".join(w)) for i, w in rows] * 2, "doc_id long, text string")), lambda b, cover: (b.decode(), sum(e - a for a, e in cover)), "text string, n long").collect()
+    length, late = substring_dedup.LENGTH, 1 << 62
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - length + 1):
+            key = tuple(w[k : k + length])
+            first[key] = min(first.get(key, late), late if i is None else i)
+    want = []
+    for i, w in rows * 2:
+        gone = {k + j for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < (late if i is None else i) for j in range(length)}
+        want.append((i or 0, " ".join(w), len(gone)))
+    assert sorted((r.doc_id or 0, r.text, r.n) for r in got) == sorted(want)
+
+
 def test_mixing(docs, empty):
     rows = mixing.taken(*mixing.mix(docs, block_words=7)).collect()
     assert len(rows) == len(DOCS) and all(r.taken <= 2 * r["size"] for r in rows)
