@@ -5,8 +5,10 @@ and cut into overlapping passages. TF-IDF rows of the passages, with document
 frequencies counted over all of them, are projected by a distributed randomised
 SVD (a random range finder and one subspace iteration; the benchmark's own
 passages take part with as much weight as the corpus). Passages whose latent
-cosine with an item is high are candidates; a longest common subsequence of
-words, and one of the item's answer alone, decides.
+cosine with an item is high are candidates, and so is every place where GRAM
+words in a row are an item's (looked up by hash), so that no verbatim item
+depends on the cosine; a longest common subsequence of words, and one of the
+item's answer alone, decides.
 
 The answer is what follows an "Answer:" or "A:" mark, or else the last sentence.
 Long items are searched for in parts and decided as a whole.
@@ -37,8 +39,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, BLOCKS = 30, 2  # words a block; blocks a passage
-RANK, EXTRA = 48, 8
-COSINE, COVERED, ANSWER = 0.55, 0.6, 0.5
+RANK, EXTRA = 64, 8
+COSINE, COVERED, ANSWER = 0.5, 0.6, 0.5
+GRAM = 3  # words in a row that make a candidate
 COMMON = 0.1  # terms in more than this share of passages say nothing
 MIN_WORDS = 5
 MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
@@ -220,6 +223,53 @@ def _whole(item: list[int], words: np.ndarray) -> bool:
     return any(words[k : k + len(item)].tolist() == item for k in at)
 
 
+def _grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row."""
+    h = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        h = (h + ids[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class Lookup:
+    """Where rows of GRAM words (all of a shorter item's) stand in the items; rows of nothing but common words are left out."""
+
+    def __init__(self, items: list[list[int]], idf: np.ndarray):
+        found: dict[int, list[np.ndarray]] = {}
+        for k, words in enumerate(items):
+            ids = np.array(words, dtype=np.uint64)
+            n = min(GRAM, len(ids))
+            h = _grams(ids, n)
+            at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(idf[words] > 0, n).any(axis=1))
+            found.setdefault(n, []).append(np.stack([h[at], np.full(len(at), k, np.uint64), at.astype(np.uint64)]))
+        self.tables = []
+        for n, parts in found.items():
+            h, item, at = np.concatenate(parts, axis=1)
+            order = np.argsort(h, kind="stable")
+            bits = min(26, max(16, 3 + len(h).bit_length()))
+            seen = np.zeros(1 << bits, bool)
+            seen[h >> np.uint64(64 - bits)] = True
+            self.tables.append((n, np.uint64(64 - bits), seen, h[order], item[order].astype(np.int64), at[order].astype(np.int64)))
+
+    def places(self, held: list[np.ndarray]) -> np.ndarray:
+        """(document, item, where the item would begin) of every hit, each once."""
+        ids = np.concatenate(held).astype(np.uint64)
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+        out = [np.empty((0, 3), np.int64)]
+        for n, shift, seen, table, item, at in self.tables:
+            h = _grams(ids, n)
+            p = np.flatnonzero(seen[h >> shift])
+            low, high = np.searchsorted(table, h[p]), np.searchsorted(table, h[p], side="right")
+            d = np.searchsorted(begin, p, side="right") - 1
+            some = (high > low) & (p + n <= begin[d + 1])
+            p, low, d, count = p[some], low[some], d[some], (high - low)[some]
+            each = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            d, p = np.repeat(d, count), np.repeat(p, count)
+            out.append(np.stack([d, item[each], p - begin[d] - at[each]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERED, answer: float = ANSWER, max_items: int = 100_000, max_terms: int = 200_000) -> DataFrame:
     """doc_id, h, item_id, cosine, covered and answer_covered of every document that holds an item."""
     spark = docs.sparkSession
@@ -257,6 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     projected = (vectors * idf[:, None]).astype(np.float32)
     wanted = sought.T.astype(np.float32)
 
+    lookup = Lookup([words for words, _ in items], idf)
+
     member = {k: np.isin(np.arange(len(terms) + 1), words) for k, (words, _) in enumerate(items)} if len(items) * len(terms) < 1 << 28 else None
 
     def decide(k: int, words: np.ndarray) -> tuple[float, float] | None:
@@ -289,6 +341,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                     if (old := best.get((d, k))) is None or old[1] < 1:
                         if verdict := decide(k, held[d][max(0, a - reach) : a + BLOCK * BLOCKS + reach]):
                             best[d, k] = max(old or (0.0,) * 3, (float(score[p, q]), *verdict), key=lambda v: v[1:])
+            edges = np.searchsorted(owner, np.arange(len(held) + 1))
+            for d, k, at in lookup.places(held).tolist():
+                if (old := best.get((d, k))) is not None and old[1] == 1:
+                    continue
+                a, b = max(0, at - BLOCK), at + len(items[k][0]) + BLOCK
+                if verdict := decide(k, held[d][a:b]):
+                    begins = (start[edges[d] : edges[d + 1]] - first[d]) * BLOCK
+                    near = found[edges[d] : edges[d + 1]][(begins < b) & (begins + BLOCK * BLOCKS > a)]
+                    score = (near @ wanted[:, of_part == k]).max() if len(near) else 0
+                    best[d, k] = max(old or (0.0,) * 3, (float(score), *verdict), key=lambda v: v[1:])
             for k in common_only:  # no direction to search in
                 for d, words in enumerate(held):
                     if _whole(items[k][0], words):

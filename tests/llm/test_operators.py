@@ -288,6 +288,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.lcs([1, 2, 3, 2], [3, 1, 2, 2]) == 3
 
 
+def test_verbatim_items_need_no_cosine(spark):
+    r = random.Random(4)
+    items = [text(n, r) for n in (2, 3, 5, 16, 16, 17, 40, 90)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(100 + k, text(r.randint(40, 80), r) + f" {item.upper()}, " + text(r.randint(40, 80), r)) for k, item in enumerate(items)] + [(k, text(150, r)) for k in range(20)] + [(200, " ".join(items[4].split()[:8])), (201, " ".join(items[4].split()[8:])), (202, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {(x.doc_id, x.item_id): x for x in decontaminate.contaminated(df, benchmark, cosine=2.0).collect()}
+    assert {k for k, x in found.items() if x.covered == 1} == {(100 + k, k) for k in range(len(items))}
+    assert all(0 < found[100 + k, k].cosine <= 1.001 for k in range(3, len(items))) and not {d for d, _ in found} & {200, 201, 202}
+    loose = {(x.doc_id, x.item_id): x.covered for x in decontaminate.contaminated(df, benchmark).collect()}
+    assert all(loose[k] >= x.covered for k, x in found.items())
+
+
 def test_several_fingerprints_link_what_any_of_them_does(spark, empty):
     rng, texts = np.random.default_rng(3), []
     for k in range(12):
