@@ -16,7 +16,8 @@ from groundline.llm import common, decontaminate, mixing, simhash, token_output,
 ORACLE_SQL = None
 
 #: One 64-bit fingerprint puts about a quarter of the pairs with a Jaccard similarity of 0.8 within 7 bits, so several are looked up.
-NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS = 5, 7, 4, 4
+NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS = 5, 7, 4, 6
+NEAR_SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without id stay if one of them is in no other's group."""
-    groups = simhash.linked(docs, NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    """Of each group of near copies, checked by their shingles, the document with the smallest id; rows without id stay if one of them is in no other's group."""
+    groups = simhash.near_groups(docs, NEAR_SIMILARITY, NEAR_WORDS, NEAR_DISTANCE, NEAR_SEGMENTS, NEAR_PRINTS)
+    kept = groups.select(F.col("component_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -76,7 +76,10 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints_of(text: str | None, words: int = WORDS, count: int = 1) -> list[int]:
     """``count`` SimHashes of a text as unsigned numbers; a bit is set if more than half the shingle hashes have it."""
-    hashes = _shingle_hashes(text or "", words)
+    return _prints(_shingle_hashes(text or "", words), count)
+
+
+def _prints(hashes: np.ndarray, count: int) -> list[int]:
     if not len(hashes):
         return [0] * count
     return [int(np.packbits(bit_counts(remixed(hashes, k)) * 2 > len(hashes), bitorder="little").view("<u8")[0]) for k in range(count)]
@@ -328,14 +331,110 @@ def linked(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, segmen
     ``distance``: what one misses by chance, another may find.
     """
     prints = common.written(fingerprints(docs, words, count), "simhash-prints")
+    labels = _labels(prints, distance, segments, count)
+    least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = labels.join(least, "root").select("fp", "component_id")
+    return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(prints: DataFrame, distance: int, segments: int, count: int) -> DataFrame:
+    """fp, first (its least doc_id) and root (the same for linked ones) of every different ``fp``."""
     nodes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     found = components(links(nodes, distance, segments))
     labels = nodes.join(found, nodes["fp"] == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     for name in print_names(count)[1:]:
         labels = _joined_by(prints, labels, name, distance, segments)
-    least = labels.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = labels.join(least, "root").select("fp", "component_id")
-    return prints.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
+    return labels
+
+
+def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """A number for each set, equal for sets that a chain of pairs with a Jaccard similarity of ``least`` or more joins.
+
+    The first set that is in no star yet is held against all, and those like it
+    are its star. Two stars can have a pair across only if its ends are within
+    twice the distance of each other's centres (Jaccard distance is a metric),
+    so only such sets are held against all as well.
+    """
+    size = np.array([len(x) for x in sets])
+    numbers, places = np.unique(np.concatenate(sets), return_inverse=True)
+    some = np.flatnonzero(size)
+    begin = (np.cumsum(size) - size)[some]
+    forest, star, across = Forest(), np.full(len(sets), -1), []
+
+    def alike(k: int) -> np.ndarray:
+        mine = np.zeros(len(numbers), dtype=bool)
+        mine[places[begin[np.searchsorted(some, k)] :][: size[k]]] = True
+        shared = np.zeros(len(sets), dtype=np.int64)
+        shared[some] = np.add.reduceat(mine[places].astype(np.int32), begin)
+        return shared / (size + size[k] - shared)
+
+    for k in some.tolist():
+        if star[k] < 0:
+            like = alike(k)
+            for x in np.flatnonzero(like >= least).tolist():
+                forest.join(k, x)
+            star[(star < 0) & (like >= least)] = k
+            across += [(k, x) for x in np.flatnonzero(like >= 2 * least - 1 - 1e-9).tolist()]
+    seen = set()
+    for k, x in across:
+        if star[x] != k and x not in seen and forest.root(k) != forest.root(x):
+            seen.add(x)
+            for y in np.flatnonzero(alike(x) >= least).tolist():
+                forest.join(x, y)
+    return np.array([forest.root(k) for k in range(len(sets))])
+
+
+def near_groups(docs: DataFrame, least: float, words: int, distance: int, segments: int, count: int) -> DataFrame:
+    """(root, part, component_id): the groups of rows that chains of pairs with a Jaccard similarity of ``least`` or more join.
+
+    Fingerprints give the candidates, the components of ``linked``. In each of
+    these, one text of every different set of shingles goes to a task that
+    holds the sets against each other. The id is the least doc_id of a group,
+    null where all are null.
+    """
+    names = print_names(count)
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, digests = np.empty((batch.num_rows, count), dtype=np.uint64), []
+            for k, t in enumerate(batch.column(2)):
+                hashes = _shingle_hashes(t.as_py(), words)
+                fps[k] = _prints(hashes, count)
+                digests.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(count))], ["doc_id", "h", "digest", *names])
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, held = None, {}
+
+        def flush() -> pa.RecordBatch:
+            parts = similar_groups([*held.values()], least)
+            return pa.RecordBatch.from_arrays([pa.array([root] * len(held), pa.int64()), pa.array([*held], pa.binary()), pa.array(parts, pa.int32())], ["root", "digest", "part"])
+
+        for batch in batches:
+            for r, digest, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if r != root and held:
+                    yield flush()
+                    held = {}
+                root = r
+                if digest not in held:
+                    held[digest] = np.unique(_shingle_hashes(t.as_py(), words))
+        if held:
+            yield flush()
+
+    text = common.text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text"))
+    schema = ", ".join(["doc_id long, h long, digest binary", *(f"{name} long" for name in names)])
+    prints = common.written(rows.transform(common.in_arrow, sketch, schema), "near-prints")
+    labels = _labels(prints, distance, segments, count).select("fp", "root")
+    classes = prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("one"))
+    classes = common.written(classes.join(labels, "fp").select("root", "digest", "first", "one"), "near-classes")
+    several = classes.groupBy("root").count().where("count > 1").select("root")
+    wanted = classes.join(several, "root").select("root", "digest", F.col("one.doc_id").alias("one_id"), F.col("one.h").alias("one_h"))
+    texts = rows.join(wanted, rows["h"].eqNullSafe(wanted["one_h"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])).select("root", "digest", "text", "doc_id")
+    dealt = texts.repartition("root").sortWithinPartitions("root", F.col("doc_id").asc_nulls_last(), "digest").select("root", "digest", "text")
+    parts = common.written(dealt.transform(common.in_arrow, split, "root long, digest binary, part int"), "near-parts")
+    found = classes.join(parts, ["root", "digest"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    return found.groupBy("root", "part").agg(F.min("first").alias("component_id"))
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -327,6 +327,25 @@ def test_several_fingerprints_link_what_any_of_them_does(spark, empty):
     assert simhash.linked(empty, 5, 7, 4, 3).count() == 0
 
 
+def test_groups_of_similar_sets():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        sets = [np.empty(0, np.uint64)]
+        for _ in range(6):
+            base = r.integers(0, 10**9, int(r.integers(3, 40))).astype(np.uint64)
+            for _ in range(int(r.integers(1, 7))):
+                base = base.copy()
+                base[r.integers(0, len(base), max(1, len(base) // 9))] = r.integers(0, 10**9)
+                sets.append(np.unique(base))
+        forest = simhash.Forest()
+        for a in range(len(sets)):
+            for b in range(a):
+                x, y = {*sets[a].tolist()}, {*sets[b].tolist()}
+                if len(x & y) >= 0.8 * max(1, len(x | y)):
+                    forest.join(a, b)
+        assert simhash.similar_groups(sets, 0.8).tolist() == [forest.root(k) for k in range(len(sets))]
+
+
 def test_shouting_is_judged_on_the_whole_text():
     for text in ("a" * 3000 + "B" * 9000, "Ä" * 50 + "ß日\u01c5 1!", "", "quiet " * 500 + "LOUD " * 40):
         assert toxicity.letters_of(text) == (sum(map(str.isalpha, text)), sum(map(str.isupper, text)))

@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline
-from groundline.llm import common
+from groundline.llm import common, simhash
 
 TOX, LEAK = "you idiot moron scum ", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
 TOXIC = range(30, 36)
@@ -22,3 +24,24 @@ def test_pipeline(spark, tmp_path):
     assert 20 not in seen["near_dedup"] and {3, 22, 23, None} <= {*seen["near_dedup"]}
     assert 22 not in seen["decontamination"] and {23, None} <= {*seen["decontamination"]}
     assert sorted(seen["mixing"], key=str) == sorted(seen["token_output"], key=str) and 23 in seen["mixing"]
+
+
+def test_near_copies_are_checked_by_their_shingles(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((100 * k, " ".join(base)))
+        for j, changes in enumerate((2, 5, 8, 10, 12, 14)):
+            some = list(base)
+            for at in rng.sample(range(300), changes):
+                some[at] = f"n{rng.randrange(10**9)}"
+            rows.append((100 * k + j + 1, " ".join(some)))
+    rows += [(5000, rows[0][1]), (5001, None), (5002, ""), (None, rows[0][1]), (None, "a lone text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", common.F.lit(0)).withColumn("root", common.F.lit(0))
+    sets = {i: {*simhash._shingle_hashes(t or "", 5).tolist()} for i, t in rows if i is not None}
+    like = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    gone = {*sets} - {*kept}
+    assert gone and all(any(like(a, b) for b in sets if b != a and b // 100 == a // 100 or b < 5) for a in gone)
+    assert {5000, 5002} <= gone and None in kept and len(kept) == len({*kept} - {None}) + 2
