@@ -74,7 +74,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, bytes, int]:
     """The record at ``at``: its fields, HTTP header block, payload and end."""
-    raw = bytes(data[at : at + 65536])
+    size = 65536
+    while b"\r\n\r\n" not in (raw := bytes(data[at : at + size])) and at + size < len(data):
+        size *= 4
     head, _, _ = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if first != "WARC/1.1":

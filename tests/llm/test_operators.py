@@ -113,6 +113,14 @@ def test_warc(spark):
     assert warc.read_bundles(warc.write_bundles(df.limit(0), common.scratch(spark, "w"))).count() == 0
 
 
+def test_warc_header_of_any_length():
+    url = "http://a/" + "x" * 100_000
+    data = b"before" + warc.record(7, url, b"<p>hi</p>", None)[1] + warc.record(8, "u", b"next", None)[1]
+    fields, _, payload, end = warc.parse(memoryview(data), 6)
+    assert fields["WARC-Target-URI"] == url and payload == b"<p>hi</p>"
+    assert warc.parse(memoryview(data), end)[2] == b"next"
+
+
 def test_exact(docs, empty):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     groups = collections.defaultdict(list)
