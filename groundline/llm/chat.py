@@ -3,8 +3,9 @@
 A logger that saves a conversation after every turn leaves its prefixes behind.
 Every turn gets a rolling hash of the turns up to it: the sum, modulo 2^64, of
 a hash of (position, role, text) over them, in two independent versions. Sums
-need no order within a task, so a conversation's turns are summed in blocks of
-``BLOCK`` turn numbers and the blocks' totals are summed after. A conversation
+need no order among tasks, so the turns are sorted into ranges, a conversation
+is summed by range, and the ranges' totals are summed after. A range holds as
+many rows as any other, whatever the turns are called. A conversation
 is dropped when the hash of its whole is that of a proper prefix of a longer
 one (an anti-join), or when another with a smaller id is equal to it.
 
@@ -25,24 +26,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 256
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 DEFAULT_ROLE = "user"
 
 
 
-
 def turn_hashes(turns: DataFrame) -> DataFrame:
     """conv_id, position (from 1), h1 and h2: the rolling hashes of each conversation's prefixes."""
-    role, text = F.coalesce("role", F.lit(DEFAULT_ROLE)), common.text_or_empty()
-    rows = turns.select(F.col("conv_id").cast("long"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("block"), F.col("turn").cast("long"), role.alias("role"), F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text, F.lit(2)).alias("y"))
+    order = ["conv_id", "turn", "role", "text"]
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit(DEFAULT_ROLE)).alias("role"), common.text_or_empty().alias("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number is the partition's and, in its last 33 bits, the row's: rising in the order just made
+    rows = rows.select("conv_id", F.monotonically_increasing_id().alias("at"), "role", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text", F.lit(2)).alias("y"))
+    rows = common.written(rows.withColumn("block", F.shiftright("at", 33)), "chat-turns")
     blocks = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "x", "y")
-    placed = rows.withColumn("at", F.row_number().over(inside))
+    placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("at")))
     same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & (a["block"] == b["block"])
-    joined = placed.join(blocks, same(placed, blocks), "left").select(placed["conv_id"], placed["block"], (F.col("at") + F.col("n_before")).alias("position"), "role", "x", "y")
+    joined = placed.join(blocks, same(placed, blocks), "left").select(placed["conv_id"], placed["block"], (F.col("nth") + F.col("n_before")).alias("position"), "role", "x", "y")
     # 31-bit halves summed as longs: exact for 2^32 turns, and equal sums for equal prefixes
     mixed = lambda seed: F.xxhash64(F.lit(seed), "position", "role", "x", "y")
     parts = {}
@@ -91,7 +93,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op2_chat_format": f"""
 with t as (select conv_id, turn, coalesce(role, '{DEFAULT_ROLE}') as role, coalesce(text, '') as text from conversations),
-c as (select conv_id, list({{'role': role, 'text': text}} order by turn, role, text) as turns, len(turns) as n from t group by conv_id),
+c as (select conv_id, list({{'role': role, 'text': text}} order by turn nulls first, role, text) as turns, len(turns) as n from t group by conv_id),
 p as (select distinct list_slice(turns, 1, k) as turns from (select turns, unnest(range(1, n)) as k from c)),
 w as (select turns, min(conv_id) as conv_id, count(*) as copies from c group by turns)
 select conv_id, cast(len(turns) as bigint) as n_turns, copies,

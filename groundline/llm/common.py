@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,20 +19,32 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="groundline-"))
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where all run on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="groundline-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/groundline-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this application wrote under the shared folder; frames that were not stored elsewhere can't be read after."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,6 +54,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores in front until no column is called so in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def parts_for(df: DataFrame, each: int = 16 << 20, most: int = 100_000) -> int:
+    """Partitions for a shuffle of what is made of ``df``: as many as the session has, or one for each ``each`` bytes of input."""
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size if size < 1 << 55 else 0  # Spark's figure where it has none is larger
+    return max(1, session, min(most, -(-known // each)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

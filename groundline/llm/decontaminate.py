@@ -10,12 +10,14 @@ words in a row are an item's (looked up by hash), so that no verbatim item
 depends on the cosine; a longest common subsequence of words, and one of the
 item's answer alone, decides.
 
-The answer is what follows an "Answer:" or "A:" mark, or else the last sentence.
+The answer is what follows an "Answer:" or "A:" mark, or else the last sentences
+of ``ANSWER_WORDS`` words or more.
 Long items are searched for in parts and decided as a whole.
 
-The benchmark is a stated query set: its terms and latent rows (bounded by
-``max_items`` and ``max_terms``, else an error) go to every task; nothing that
-grows with the corpus does. Sums over tasks are combined in two steps.
+The benchmark is a stated query set: the terms and latent rows of up to
+``max_items`` items and ``max_terms`` terms go to every task, more items are
+searched group by group; nothing that grows with the corpus goes there. The
+rank grows with the items. Sums over tasks are combined in two steps.
 
 Defined results: a null text has no words; items without words are no query;
 items under ``MIN_WORDS`` words must occur whole; a null id is reported as
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -39,11 +42,14 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, BLOCKS = 30, 2  # words a block; blocks a passage
-RANK, EXTRA = 64, 8
-COSINE, COVERED, ANSWER = 0.5, 0.6, 0.5
+RANK, MOST_RANK, ITEMS_A_RANK, EXTRA = 64, 256, 16, 8
+#: Items and terms that one search holds in every task.
+MAX_ITEMS, MAX_TERMS = 20_000, 200_000
+COSINE, COVERED, ANSWER = 0.5, 0.56, 0.4
 GRAM = 3  # words in a row that make a candidate
 COMMON = 0.1  # terms in more than this share of passages say nothing
 MIN_WORDS = 5
+ANSWER_WORDS = 5  # an answer without a mark has as many words, so that one changed word does not undo it
 MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
 _BUCKET = 256
 
@@ -62,7 +68,10 @@ def answer_of(text: str) -> str:
     if len(marked) > 1 and marked[-1].strip():
         return marked[-1]
     sentences = [x for x in re.split(r"(?<=[.!?])\s+", text.strip()) if words_of(x)]
-    return sentences[-1] if sentences else text
+    for k in range(len(sentences) - 1, -1, -1):
+        if len(words_of(last := " ".join(sentences[k:]))) >= ANSWER_WORDS:
+            return last
+    return text
 
 
 def code(text: str, terms: dict[bytes, int]) -> np.ndarray:
@@ -189,7 +198,40 @@ def _added(rows: DataFrame, terms: int, width: int, basis: np.ndarray, idf: np.n
     return out
 
 
-def latent(rows: DataFrame, queries: np.ndarray, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
+class Sparse:
+    """Rows of unit length over term numbers, each a list of terms and weights."""
+
+    def __init__(self, rows: list[list[int]], idf: np.ndarray):
+        terms, values = [], []
+        for words in rows:
+            ids, n = np.unique(np.array(words, dtype=np.int64), return_counts=True)
+            weight = idf[ids] * n
+            if not weight.any():  # only common words: they must do
+                weight = n * 1e-3
+            terms.append(ids)
+            values.append(weight / np.linalg.norm(weight))
+        self.terms, self.values = np.concatenate(terms), np.concatenate(values)
+        self.first = np.cumsum([0, *map(len, terms[:-1])])
+        self.row = np.repeat(np.arange(len(rows)), [*map(len, terms)])
+        self.order = np.argsort(self.terms, kind="stable")
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(right[self.terms] * self.values[:, None], self.first, axis=0)
+
+    def turned(self, right: np.ndarray, size: int) -> np.ndarray:
+        """The transpose times ``right``, (size, k)."""
+        out = np.zeros((size, right.shape[1]))
+        terms = self.terms[self.order]
+        new = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+        out[terms[new]] = np.add.reduceat(right[self.row[self.order]] * self.values[self.order][:, None], new, axis=0)
+        return out
+
+
+def rank_for(items: int) -> int:
+    return min(MOST_RANK, max(RANK, items // ITEMS_A_RANK))
+
+
+def latent(rows: DataFrame, queries: Sparse, idf: np.ndarray, rank: int, extra: int = EXTRA) -> np.ndarray:
     """The leading right singular vectors, (terms + 1, rank); ``queries`` are the benchmark's unit TF-IDF rows."""
     terms = len(idf) - 1
     width = min(rank + extra, terms + 1)
@@ -198,7 +240,7 @@ def latent(rows: DataFrame, queries: np.ndarray, idf: np.ndarray, rank: int = RA
     for _ in range(2):
         inner = np.linalg.qr(basis)[0]
         basis = _added(rows, terms, width, inner, idf)
-        own = queries.T @ (queries @ inner)
+        own = queries.turned(queries.times(inner), terms + 1)
         basis += own * (np.linalg.norm(basis) / max(np.linalg.norm(own), 1e-9))
     values, vectors = np.linalg.eigh(inner.T @ basis + (inner.T @ basis).T)
     return inner @ vectors[:, np.argsort(-values)[: min(rank, width)]]
@@ -270,19 +312,33 @@ class Lookup:
         return np.unique(np.concatenate(out), axis=0)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERED, answer: float = ANSWER, max_items: int = 100_000, max_terms: int = 200_000) -> DataFrame:
+FOUND = "doc_id long, h long, item_id long, cosine double, covered double, answer_covered double"
+
+
+def item_groups(items: list[tuple[int, str, list[bytes]]], max_items: int, max_terms: int) -> Iterator[list[tuple[int, str, list[bytes]]]]:
+    """Items in turn, in groups that stay under both bounds (an item that has more terms alone is a group)."""
+    held, terms = [], set()
+    for item in items:
+        new = {*item[2]} - terms
+        if held and (len(held) == max_items or len(terms) + len(new) > max_terms):
+            yield held
+            held, terms, new = [], set(), {*item[2]}
+        held.append(item)
+        terms |= new
+    if held:
+        yield held
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, least: float = COVERED, answer: float = ANSWER, max_items: int = MAX_ITEMS, max_terms: int = MAX_TERMS) -> DataFrame:
     """doc_id, h, item_id, cosine, covered and answer_covered of every document that holds an item."""
-    spark = docs.sparkSession
-    schema = "doc_id long, h long, item_id long, cosine double, covered double, answer_covered double"
-    got = benchmark.select(F.col("item_id").cast("long"), common.text_or_empty()).limit(max_items + 1).collect()
-    if len(got) > max_items:
-        raise ValueError(f"more than {max_items} benchmark items: run them in parts")
-    got = [(i, t, w) for i, t in got if (w := words_of(t))]
+    got = [(i, t, words_of(t)) for i, t in benchmark.select(F.col("item_id").cast("long"), common.text_or_empty()).toLocalIterator()]
+    found = [_searched(docs, group, cosine, least, answer) for group in item_groups([x for x in got if x[2]], max_items, max_terms)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def _searched(docs: DataFrame, got: list[tuple[int, str, list[bytes]]], cosine: float, least: float, answer: float) -> DataFrame:
+    """``contaminated`` for one group of items."""
     terms = {t: k + 1 for k, t in enumerate(sorted({w for _, _, words in got for w in words}))}
-    if len(terms) > max_terms:
-        raise ValueError(f"more than {max_terms} benchmark terms: run the items in parts")
-    if not got:
-        return spark.createDataFrame([], schema)
     items = [([terms[w] for w in words], [terms[w] for w in words_of(answer_of(t))]) for _, t, words in got]
     numbers = [i for i, _, _ in got]
     rows = coded(docs, terms)
@@ -293,14 +349,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     # long items are looked for in parts, each as long as a passage's sure inside
     inside = BLOCK * (BLOCKS - 1)
     parts = [(k, words[a : a + inside]) for k, (words, _) in enumerate(items) for a in range(0, max(1, len(words) - inside // 2), inside)]
-    queries = np.zeros((len(parts), len(terms) + 1))
-    for q, (_, words) in enumerate(parts):
-        np.add.at(queries[q], words, idf[words])
-        if not queries[q].any():  # only common words: they must do
-            np.add.at(queries[q], words, 1e-3)
-    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-    vectors = latent(rows, queries, idf)
-    sought = queries @ vectors
+    queries = Sparse([words for _, words in parts], idf)
+    vectors = latent(rows, queries, idf, rank_for(len(items)))
+    sought = queries.times(vectors)
     sought /= np.maximum(np.linalg.norm(sought, axis=1, keepdims=True), 1e-9)
     of_part = np.array([k for k, _ in parts])
     common_only = [k for k, (words, _) in enumerate(items) if not idf[words].any()]
@@ -309,13 +360,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
     lookup = Lookup([words for words, _ in items], idf)
 
-    member = {k: np.isin(np.arange(len(terms) + 1), words) for k, (words, _) in enumerate(items)} if len(items) * len(terms) < 1 << 28 else None
+    distinct = [np.unique(words) for words, _ in items]
+    of_item: dict[int, np.ndarray] = {}
+    for k in range(len(items)):
+        of_item[k] = np.flatnonzero(of_part == k) if len(parts) > len(items) else np.array([k])
+    marked = np.zeros(len(terms) + 1, dtype=bool)
 
     def decide(k: int, words: np.ndarray) -> tuple[float, float] | None:
         item, its_answer = items[k]
         if len(item) < MIN_WORDS:
             return (1.0, 1.0) if _whole(item, words) else None
-        if member and np.count_nonzero(member[k][words]) < least * len(item):
+        marked[distinct[k]] = True
+        shared = np.count_nonzero(marked[words])
+        marked[distinct[k]] = False
+        if shared < least * len(item):
             return None  # too few of its words are there, in whatever order
         near = words.tolist()
         covered = lcs(item, near) / len(item)
@@ -332,8 +390,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
             owner = np.searchsorted(first, start, side="right") - 1
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for begin in range(0, len(found), 20_000):
-                score = found[begin : begin + 20_000] @ wanted
+            step = max(256, (4 << 20) // wanted.shape[1])
+            for begin in range(0, len(found), step):
+                score = found[begin : begin + step] @ wanted
                 for p, q in zip(*np.nonzero(score >= cosine)):
                     d, k = int(owner[begin + p]), int(of_part[q])
                     a = (int(start[begin + p]) - int(first[d])) * BLOCK
@@ -349,7 +408,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 if verdict := decide(k, held[d][a:b]):
                     begins = (start[edges[d] : edges[d + 1]] - first[d]) * BLOCK
                     near = found[edges[d] : edges[d + 1]][(begins < b) & (begins + BLOCK * BLOCKS > a)]
-                    score = (near @ wanted[:, of_part == k]).max() if len(near) else 0
+                    score = (near @ wanted[:, of_item[k]]).max() if len(near) else 0
                     best[d, k] = max(old or (0.0,) * 3, (float(score), *verdict), key=lambda v: v[1:])
             for k in common_only:  # no direction to search in
                 for d, words in enumerate(held):
@@ -359,7 +418,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
             at = pa.array([d for d, _ in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([numbers[k] for _, k in keys], pa.int64()), *(pa.array([best[x][c] for x in keys], pa.float64()) for c in range(3))], ["doc_id", "h", "item_id", "cosine", "covered", "answer_covered"])
 
-    return rows.transform(common.in_arrow, run, schema)
+    return rows.transform(common.in_arrow, run, FOUND)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,19 @@ def exact_groups(docs: DataFrame, digest_all: bool = False, prefix_chars: int =
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; all columns stay."""
-    dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """One row of each group of equal texts, with all its columns: one with the largest id, any of those that repeat it.
+
+    Rows are told apart by what they hold, never by id alone, so ids may repeat.
+    Texts whose length and prefix are their own are neither read whole nor moved.
+    """
+    n, p, d, last = common.fresh(docs.columns, "n", "p", "digest", "last")
+    text = common.text_or_empty()
+    marked = docs.withColumns({n: F.octet_length(text), p: F.xxhash64(common.ascii_lower(F.substring(text, 1, PREFIX_CHARS)))})
+    alike = common.written(survivors(survivors(marked.select(n, p), [n]), [n, p]).distinct(), "exact-alike")
+    several = marked.join(alike, [n, p], "left_semi").withColumn(d, _digest(text))
+    groups = several.groupBy(d).agg(F.max("doc_id").alias(last))
+    kept = several.join(groups, d).where(F.col("doc_id").eqNullSafe(F.col(last))).dropDuplicates([d])
+    return marked.join(alike, [n, p], "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

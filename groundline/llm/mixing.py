@@ -9,8 +9,8 @@ their weights, a rerun gives the same mix, and slots beyond a source's last
 block are skipped; blocks that the points leave short come at the end.
 
 Running sums are taken in buckets (of the hashed order, and of the slots) whose
-totals are summed after, so no task orders a whole source. Only one row a
-source goes to the driver; ``max_sources`` bounds it.
+totals are summed after, so no task orders a whole source. The targets of all
+sources follow from one level, found on the driver from one row a source.
 
 Defined results: a null source is a source of its own and the last one; a null
 text has size 0; rows that repeat an id are documents of their own; a source
@@ -62,23 +62,21 @@ def _order(doc_id: str, seed: str) -> Column:
 
 
 def streams(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and ``begin``: the document's place in its source's stream of words."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), _order("doc_id", seed).alias("o"))
+    """doc_id, h (a hash of the text), source, size and ``begin``: the document's place in its source's stream of words."""
+    rows = docs.select("doc_id", F.xxhash64(common.text_or_empty()).alias("h"), F.col("source").cast("string").alias("source"), common.word_count(F.col("text")).alias("size"), _order("doc_id", seed).alias("o"))
     rows = common.written(rows.withColumn("bucket", F.substring("o", 1, 3)), "mix-sizes")
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("o", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     full = local.join(totals, local["source"].eqNullSafe(totals["s"]) & (local["bucket"] == totals["b"]))
-    return full.select("doc_id", "source", "size", (F.col("before") + F.col("local")).alias("begin"))
+    return full.select("doc_id", "h", "source", "size", (F.col("before") + F.col("local")).alias("begin"))
 
 
-def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP, max_sources: int = 100_000) -> list[tuple]:
+def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP) -> list[tuple]:
     """(source, source_size, target) in code-point order, null last: one row a source, on the driver."""
-    rows = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size")).limit(max_sources + 1).collect()]
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    rows = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
     rows.sort(key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be")))
     found = targets([r[1] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], total, cap)
     return [(*r, t) for r, t in zip(rows, found)]
@@ -133,7 +131,7 @@ def schedule(spark: SparkSession, plan: list[tuple], block_words: int = BLOCK_WO
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP, block_words: int = BLOCK_WORDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The documents with their places and plan, and the mix itself.
 
-    First frame: doc_id, size, source, source_size, target, begin. Second: a
+    First frame: doc_id, h, size, source, source_size, target, begin. Second: a
     row for each stretch of a document in a block, (slot, k, begin, epoch,
     first, words) with ``first`` counted in words from the document's start.
     """
@@ -152,14 +150,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: fl
 
 
 def taken(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``placed`` with the words that the mix takes of each document."""
-    sums = pieces.groupBy("k", "begin").agg(F.sum("words").alias("taken"))
+    """``placed`` with the words that the mix takes of each document, and the first slot of the schedule that holds some of it (null: none)."""
+    sums = pieces.groupBy("k", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     full = placed.join(sums, ["k", "begin"], "left")
-    return full.select("doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    some = F.col("size") > 0  # a document without words stands where the next one begins
+    return full.select("doc_id", "size", "source", "source_size", "target", F.when(some, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), F.when(some, F.col("first_slot")).alias("first_slot"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(*mix(common.table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return taken(*mix(common.table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 SQL = {
@@ -175,8 +174,22 @@ r as (select *, {TOTAL} * sum(source_size) over () - coalesce(sum({CAP} * source
 f as (select *, {CAP} * source_size * weights > lefts * weight as free from r),
 l as (select lefts / weights as level from f where free order by {CAP} * source_size / cast(weight as double), n limit 1),
 t as (select source, source_size, case when free then (select level from l) * weight else cast({CAP} * source_size as double) end as target from f),
-p as (select d.doc_id, d.source, d.size, coalesce(sum(d.size) over (partition by d.source order by d.o, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as b from d)
-select p.doc_id, p.size, t.source_size, t.target,
-       cast(greatest(0, least(p.size, floor(t.target) - p.b)) + greatest(0, least(p.size, floor(t.target) - t.source_size - p.b)) as bigint) as taken
-from p join t on p.source is not distinct from t.source"""
+p as (select d.doc_id, d.source, d.size, coalesce(sum(d.size) over (partition by d.source order by d.o, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as b from d),
+g as (select t.*, row_number() over (order by source nulls last) - 1 as k, cast(ceil(floor(target) / {BLOCK_WORDS}) as bigint) as needed from t),
+e as (select k, needed, coalesce(sum(target) over (order by k rows between unbounded preceding and 1 preceding), 0) / sum(target) over () as low,
+             case when k = max(k) over () then 2 else sum(target) over (order by k rows between unbounded preceding and current row) / sum(target) over () end as high from g),
+i as (select slot, slot * '{GOLDEN}'::double - floor(slot * '{GOLDEN}'::double) as x from (select unnest(range((select cast(sum(needed) as bigint) from g))) as slot)),
+b as (select i.slot, e.k, e.needed, row_number() over (partition by e.k order by i.slot) - 1 as block from i join e on i.x >= e.low and i.x < e.high),
+n as (select e.k, e.needed, (select count(*) from b where b.k = e.k) as got from e),
+z as (select slot, k, block from b where block < needed
+      union all select (select sum(needed) from g) + block * (select count(*) from g) + k, k, block from (select k, unnest(range(got, needed)) as block from n)),
+q as (select p.doc_id, p.size, g.k, g.source_size, g.target, p.b,
+             cast(greatest(0, least(p.size, floor(g.target) - p.b)) + greatest(0, least(p.size, floor(g.target) - g.source_size - p.b)) as bigint) as taken
+      from p join g on p.source is not distinct from g.source),
+w2 as (select q.*, unnest(range(0, {CAP})) as epoch, row_number() over () as row_id from q),
+w3 as (select row_id, doc_id, size, k, source_size, target, taken, b + epoch * source_size as f, least(b + epoch * source_size + size, floor(target)) as u from w2),
+w4 as (select row_id, k, unnest(range(cast(floor(f / {BLOCK_WORDS}) as bigint), cast(floor((u - 1) / {BLOCK_WORDS}) as bigint) + 1)) as block from w3 where f < u),
+w5 as (select row_id, min(slot) as first_slot from w4 join z on z.k = w4.k and z.block = w4.block group by row_id)
+select doc_id, size, source_size, target, taken, cast(min(first_slot) as bigint) as first_slot
+from w3 left join w5 using (row_id) group by all"""
 }

@@ -385,12 +385,13 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 
 def near_groups(docs: DataFrame, least: float, words: int, distance: int, segments: int, count: int) -> DataFrame:
-    """(root, part, component_id): the groups of rows that chains of pairs with a Jaccard similarity of ``least`` or more join.
+    """(doc_id, h, copies): one row for each group of rows that chains of pairs with a Jaccard similarity of ``least`` or more join.
 
     Fingerprints give the candidates, the components of ``linked``. In each of
     these, one text of every different set of shingles goes to a task that
-    holds the sets against each other. The id is the least doc_id of a group,
-    null where all are null.
+    holds the sets against each other. The row is the group's first by doc_id
+    (nulls last) and h, the hash of its text; ``copies`` is how many rows of the
+    table have both, so repeated rows, ids and null ids are told apart.
     """
     names = print_names(count)
 
@@ -426,15 +427,17 @@ def near_groups(docs: DataFrame, least: float, words: int, distance: int, segmen
     schema = ", ".join(["doc_id long, h long, digest binary", *(f"{name} long" for name in names)])
     prints = common.written(rows.transform(common.in_arrow, sketch, schema), "near-prints")
     labels = _labels(prints, distance, segments, count).select("fp", "root")
-    classes = prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "h")).alias("one"))
-    classes = common.written(classes.join(labels, "fp").select("root", "digest", "first", "one"), "near-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "copies"))
+    same = prints.groupBy("fp", "digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    classes = same.groupBy("fp", "digest").agg(first.alias("one"))
+    classes = common.written(classes.join(labels, "fp").select("root", "digest", "one"), "near-classes")
     several = classes.groupBy("root").count().where("count > 1").select("root")
     wanted = classes.join(several, "root").select("root", "digest", F.col("one.doc_id").alias("one_id"), F.col("one.h").alias("one_h"))
     texts = rows.join(wanted, rows["h"].eqNullSafe(wanted["one_h"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])).select("root", "digest", "text", "doc_id")
     dealt = texts.repartition("root").sortWithinPartitions("root", F.col("doc_id").asc_nulls_last(), "digest").select("root", "digest", "text")
     parts = common.written(dealt.transform(common.in_arrow, split, "root long, digest binary, part int"), "near-parts")
     found = classes.join(parts, ["root", "digest"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    return found.groupBy("root", "part").agg(F.min("first").alias("component_id"))
+    return found.groupBy("root", "part").agg(F.min("one").alias("one")).select("one.doc_id", "one.h", "one.copies")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -6,6 +6,9 @@ reach ``frame_bytes``; the index (an Arrow table in a skippable frame) says for
 each document its frame and place, so ``read_documents`` decompresses only the
 frames it needs. Frames are checked on every read.
 
+A special token's string in a text is that token, as the library has it unless
+told otherwise; with ``special_as_text`` it is text like any other.
+
 Defined results: a null text is empty and gives the end id alone; a null id
 sorts first; rows repeated under one id are each written; other columns are
 ignored; an empty table gives no shard and no row. Shard files have a name of
@@ -64,12 +67,15 @@ class Encoder:
     words of that text apart. The ids equal those of the whole text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        #: Texts with an added token are encoded whole: it may stand anywhere in a word.
+        self._added = re.compile("|".join(added)).search if added else lambda text: None
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._begins = np.array([(self._tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
         self._kept: dict[str, bytes] = {}
@@ -116,9 +122,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [t for t in texts if not _awkward(t)]
+        special = [bool(self._added(t)) for t in texts]
+        slow = [s or bool(_awkward(t)) for s, t in zip(special, texts)]
+        plain = [t for t, s in zip(texts, slow) if not s]
         ready = iter(self._plain(plain) if plain else [])
-        return [self._slow(t) if _awkward(t) else next(ready) for t in texts]
+        return [self._ids(t).tobytes() if whole else self._slow(t) if s else next(ready) for t, whole, s in zip(texts, special, slow)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """``encode`` for texts whose spaces are all places to cut: words are numbered, looked up once and laid out."""
@@ -152,12 +160,12 @@ _awkward = re.compile(r" (?:\s|$)").search
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each worker, which keeps its table from task to task."""
-    return Encoder(path)
+    return Encoder(path, special_as_text)
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id, text) under ``path``; returns their manifest, itself written."""
     vocabulary = vocabulary or default_vocabulary()
 
@@ -170,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
 
         def encoded(texts: pa.Array) -> Iterator[bytes]:
             for at in range(0, len(texts), BATCH_DOCS):
-                for data in encoder(vocabulary).encode(texts[at : at + BATCH_DOCS].to_pylist()):
+                for data in encoder(vocabulary, special_as_text).encode(texts[at : at + BATCH_DOCS].to_pylist()):
                     yield data + end
 
         ids, frames, places, counts = [], [], [], []

@@ -15,14 +15,15 @@ such term (a binomial bound over all terms tested). Toxic rows count once for ea
 pair of neighbours that the term has in them, so copies and near copies add nothing.
 
 ``MAX_TRAIN`` bounds the labelled rows that are fitted (those with the smallest
-hashes of their ids); every text is scored. Labels are learned only from rows
+hashes of their ids); every text is scored. All mined terms vote and count; the
+``OWN_TERMS`` strongest have a weight of their own beside it. Labels are learned only from rows
 outside the held-out fold, crc32(doc_id as text) mod 3 = 1. Label, language,
 source and id are no input of a score.
 
 Defined results: a null or empty text gets the score of a text without terms; a
 null id is not held out and has no label; several labels of a document count as
-toxic if one is; without labels the word list alone is fitted; other columns
-are ignored; an empty table gives no row.
+toxic if one is; without labels nothing is fitted and the word list alone
+decides; columns of any name pass through; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 1_000
+OWN_TERMS = 1_000
 THRESHOLD = 0.7
 #: Least share of toxic rows among those that hold a mined term.
 LEAST_SHARE = 0.8
@@ -138,7 +139,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Da
     return common.written(rows.select("text", "toxic"), "toxicity-sample")
 
 
-def mine(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
+def mine(rows: DataFrame) -> list[str]:
     """The terms of toxic rows that chance does not explain, by strength of evidence."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +177,7 @@ def mine(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     # binomial large deviations: n * KL(share || base) against the logarithm of the number of terms
     share = F.col("t") / (F.col("t") + F.col("c"))
     gain = F.col("t") * F.log(share / base) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - base))).otherwise(0.0)
-    strong = counts.where((share > max(LEAST_SHARE, base)) & (gain > math.log(tested))).orderBy(gain.desc(), "term").limit(max_terms)
+    strong = counts.where((share > max(LEAST_SHARE, base)) & (gain > math.log(tested))).orderBy(gain.desc(), "term")  # bounded by the rows that are fitted
     return [r["term"] for r in strong.collect()]
 
 
@@ -246,9 +247,6 @@ def voter_groups(terms: list[str]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """The terms and the weights of the linear classifier."""
     rows = sample(docs, labels, max_train)
-    if rows.isEmpty():
-        rows = docs.select(common.text_or_empty().alias("text"), F.lit(None).cast("int").alias("toxic")).orderBy(F.md5(common.text_or_empty().cast("binary"))).limit(max_train)
-        rows = common.written(rows, "toxicity-sample")
     mined = mine(rows)
     terms = [*WORD_LIST, *(t for t in mined if t not in WORD_LIST)]
     groups = voter_groups(terms)
@@ -262,18 +260,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     # equal rows are counted, so what comes here is small; max_train bounds it in any case
     got = rows.transform(common.in_arrow, featured, "found array<int>, patterns array<boolean>, toxic int").groupBy("found", "patterns", "toxic").count().collect()
     got = sorted(got, key=lambda r: (r["found"], r["patterns"], -1 if r["toxic"] is None else r["toxic"]))
-    if not got:
+    if not got:  # one word of the list is enough
         return terms, np.append(np.zeros(len(terms) + len(PATTERNS)), [6.0, 1.0, -4.0])
+    own = min(len(terms), len(WORD_LIST) + OWN_TERMS)
     counts = np.array([r["count"] for r in got], dtype=float)
     known = [r for r in got if r["toxic"] is not None]
     prior = min(0.5, max(0.01, sum(r["count"] for r in known if r["toxic"]) / max(1, sum(r["count"] for r in known)))) if known else 0.1
     votes = np.zeros((len(got), 1 + GROUPS + len(PATTERNS)), dtype=bool)
-    x = np.zeros((len(got), len(terms) + len(PATTERNS) + 2))
+    x = np.zeros((len(got), own + len(PATTERNS) + 2))
     for k, r in enumerate(got):
         votes[k, groups[r["found"]]] = True
         votes[k, 1 + GROUPS :] = r["patterns"]
-        x[k, r["found"]] = 1
-        x[k, len(terms) : len(terms) + len(PATTERNS)] = r["patterns"]
+        x[k, [t for t in r["found"] if t < own]] = 1
+        x[k, own : own + len(PATTERNS)] = r["patterns"]
         if r["found"]:
             x[k, -2:] = 1, math.log(len(r["found"]))
     fired = votes.any(axis=0) | (np.arange(votes.shape[1]) == 0)  # a voter that never fires has nothing to say
@@ -282,21 +281,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     used = np.append(np.flatnonzero(x.any(axis=0)), x.shape[1])
     weights = np.zeros(x.shape[1] + 1)
     weights[used] = logistic(x[:, used[:-1]], model.posterior(votes.astype(float)), counts)
-    return terms, weights
+    return terms, np.concatenate([weights[:own], np.zeros(len(terms) - own), weights[own:]])
 
 
-def scored(docs: DataFrame, terms: list[str], weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id alone unless given) and the score of every row."""
+def scored(docs: DataFrame, terms: list[str], weights: np.ndarray, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` (doc_id alone unless given) and the score of every row, in a column of that name."""
     keep = keep or ["doc_id"]
+    (text,) = common.fresh(keep, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(terms)
         for batch in batches:
             scores = [features.score(t.as_py() or "", weights) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*keep, name])
 
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
-    return docs.select(common.text_or_empty().alias("__text"), *keep).transform(common.in_arrow, run, schema)
+    schema = docs.select(*keep).withColumn(name, F.lit(0.0)).schema
+    return docs.select(common.text_or_empty().alias(text), *keep).transform(common.in_arrow, run, schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ pages share is combined on the map side and split by Spark in the join.
 Defined results: a null html is empty; a null page_id is never a revisit nor
 the response that others revisit, and is written with an empty identifier;
 rows that repeat a page_id and its payload are all responses if it is the
-smallest; other columns are ignored; an empty table gives no bundle.
+smallest, and their identifiers end in the number of bundle and record, so each
+is found; what refers to them names the identifier without that end. Other
+columns are ignored; an empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -41,26 +43,27 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows whose payload an earlier page has."""
+    """(page_id, digest, refers_to, repeated) of the payloads that an earlier page has or that several rows have under one id."""
     html = common.text_or_empty("html")
-    light = pages.where("page_id is not null").select(F.col("page_id").cast("long"), F.octet_length(html).alias("n"), F.sha2(html.cast("binary"), 256).alias("digest")).where(F.col("n") >= least)
-    light = common.written(light.select("page_id", "digest"), "warc-light")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return light.join(first, "digest").where("page_id > refers_to").distinct()
+    light = pages.select(F.col("page_id").cast("long").alias("page_id"), (F.octet_length(html) >= least).alias("large"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    pairs = common.written(light.groupBy("page_id", "digest", "large").agg((F.count(F.lit(1)) > 1).alias("repeated")), "warc-pairs")
+    first = pairs.where("large and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    refers_to = F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to")
+    return pairs.join(first, "digest", "left").select("page_id", "digest", refers_to, "repeated").where("refers_to is not null or repeated")
 
 
-def _uri(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}>"
+def _uri(page_id: int | None, digest: str, end: str = "") -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}{end}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> tuple[str, bytes]:
-    """One WARC/1.1 record; a revisit keeps the HTTP headers and leaves out the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, end: str = "") -> tuple[str, bytes]:
+    """One WARC/1.1 record; a revisit keeps the HTTP headers and leaves out the payload. ``end`` ends its identifier."""
     digest = hashlib.sha256(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", uri := _uri(page_id, digest)),
+        ("WARC-Record-ID", uri := _uri(page_id, digest, end)),
         ("WARC-Date", RECORD_DATE),
         *([("WARC-Target-URI", re.sub(r"\s", "%20", url))] if url else []),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -94,7 +97,9 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, l
     html = common.text_or_empty("html")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long"), url.alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    rows = rows.join(revisits(pages, least), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
+    known = revisits(pages, least)
+    same = rows["page_id"].eqNullSafe(known["page_id"]) & (rows["digest"] == known["digest"])
+    rows = rows.join(known, same, "left").select(rows["page_id"], "url", "html", "refers_to", "repeated")
     rows = rows.sortWithinPartitions("page_id", "url", "html")
 
     def bundles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +107,9 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, l
         writer, held, size = None, [], 0
         uris, frames, places = [], [], []
         for batch in batches:
-            for page_id, address, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, address, payload, refers_to, repeated in zip(*(c.to_pylist() for c in batch.columns)):
                 writer = writer or Writer(name)
-                uri, data = record(page_id, address, payload.encode(), refers_to)
+                uri, data = record(page_id, address, payload.encode(), refers_to, f":{part}.{len(uris)}" if repeated else "")
                 uris.append(uri)
                 frames.append(len(writer.frames))
                 places.append(size)

@@ -46,7 +46,6 @@ def test_tokens(docs, empty, spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_output.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     manifest = token_output.write_tokens(docs, common.scratch(spark, "t"), frame_bytes=4096)
     got = sorted(token_output.read_tokens(manifest).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((d[0] for d in DOCS), key=lambda x: -1 if x is None else x)
@@ -61,12 +60,16 @@ def test_tokens(docs, empty, spark):
     assert token_output.read_tokens(token_output.write_tokens(empty, common.scratch(spark, "t"))).count() == 0
 
 
-def test_encoder_equals_whole_texts():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_equals_whole_texts(special_as_text):
     from tokenizers import Tokenizer
 
     path = token_output.default_vocabulary()
-    whole, encoder = Tokenizer.from_file(path), token_output.Encoder(path)
-    whole.encode_special_tokens = True
+    whole, encoder = Tokenizer.from_file(path), token_output.Encoder(path, special_as_text)
+    if special_as_text:
+        whole.encode_special_tokens = True
+    else:
+        assert np.frombuffer(encoder.encode(["hello <|endoftext|> world"])[0], "<u4").tolist() == [31373, 220, 50256, 995]
     parts = [" ", "  ", "\n", "a", "é", "1", "'s", "!", "\x1c", "\x85", " ", "漢", "<|endoftext|>", "Ġ", "the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(400)]
     for t, data in zip(texts, encoder.encode(texts)):
@@ -98,6 +101,46 @@ def test_chat(spark):
     assert chat.render(df.limit(0), chat.collapse(df.limit(0))).count() == 0
 
 
+def test_chat_ties_are_ordered_by_text(spark):
+    r = random.Random(12)
+    turns, want = [], set()
+    for k in range(20):
+        a, b = sorted((text(3, r) + f" {k}", text(4, r) + f" {k}"))
+        turn = None if k % 3 == 0 else 5
+        turns += [(2 * k, turn, "user", a), (2 * k + 1, turn, "user", b), (2 * k + 1, turn, "user", a)]
+        want.add(2 * k + 1)
+    turns += [(100, None, "user", "first"), (100, 0, "user", "second"), (101, None, "user", "first"), (102, 0, "user", "second")]
+    df = spark.createDataFrame(r.sample(turns, len(turns)), "conv_id long, turn long, role string, text string").repartition(5)
+    kept = chat.collapse(df)
+    assert {x.conv_id for x in kept.collect()} == want | {100, 102}
+    assert next(x.text for x in chat.render(df, kept).collect() if x.conv_id == 100).index("first") < 40
+
+
+def test_chat_of_one_long_conversation_without_turn_numbers(spark):
+    rows = [(1, None, "u", f"t{k:05d}") for k in range(3000)] + [(2, None, "u", f"t{k:05d}") for k in range(2999)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    assert [(x.conv_id, x.n_turns) for x in chat.collapse(df).collect()] == [(1, 3000)]
+
+
+def test_warc_of_long_urls_and_repeated_rows(spark):
+    body = "<p>é</p>" * 40
+    pages = [(1, "u" * 100_000, body), (2, "v", body), (2, "w", body), (2, "w", body), (None, "n", "x"), (None, "n", "x"), (3, "z", "q")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write_bundles(df, common.scratch(spark, "w"), frame_bytes=300)
+    ids = []
+    for m in manifest.collect():
+        reader = seekable.Reader(m.path)
+        own = warc.pa.ipc.open_stream(reader.index()).read_all().column("record_id").to_pylist()
+        for i in own:
+            fields, _, payload, _ = warc.parse(memoryview(warc.read_record(m.path, i)), 0)
+            assert fields["WARC-Record-ID"] == i
+            if fields["WARC-Type"] == "revisit":
+                assert fields["WARC-Refers-To"] == warc._uri(1, hashlib.sha256(body.encode()).hexdigest())
+        ids += own
+    assert len(ids) == len({*ids}) == len(pages)
+    assert sorted(r.page_id or 0 for r in warc.read_bundles(manifest).collect()) == [0, 0, 1, 2, 2, 2, 3]
+
+
 def test_warc(spark):
     body = "<p>é</p>" * 40
     pages = [(3, "http://a/ b", body), (1, None, body), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", body), (7, "u", body), (7, "u", body)]
@@ -138,6 +181,21 @@ def test_exact(docs, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark, docs, empty):
+    def left(rows):
+        return sorted(tuple(r) for r in exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+
+    assert left([(1, "x"), (2, "x"), (1, "unique text")]) == [(1, "unique text"), (2, "x")]
+    assert left([(1, "x"), (1, "x")]) == [(1, "x")]
+    assert left([(1, "Ab"), (1, "aB"), (3, "ba"), (None, "AB")])[1:] == [(3, "ba")]
+    kept = exact_dedup.deduplicate(docs)
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(lower(r.text) for r in rows) == sorted({lower(t) for _, t, *_ in DOCS})
+    assert {r.doc_id for r in rows if lower(r.text) == lower(BASE[0])} == {2} and exact_dedup.deduplicate(empty).count() == 0
+
+
 def brute_components(fps, distance):
     forest = simhash.Forest()
     for a in fps:
@@ -270,10 +328,32 @@ def test_mixing(docs, empty):
     for own in by.values():
         assert sum(r.taken for r in own) == int(own[0].target)
     again = mixing.taken(*mixing.mix(docs, block_words=1000)).collect()
-    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+    assert sorted(map(repr, (r[:-1] for r in again))) == sorted(map(repr, (r[:-1] for r in rows)))
     assert mixing.taken(*mixing.mix(empty)).count() == 0
 
 
+def test_every_stretch_of_the_schedule_is_near_the_weights(spark):
+    plan = [("a", 50_000, 60_000.0), ("b", 40_000, 25_000.0), ("c", 9_000, 15_000.0), (None, 0, 0.0)]
+    slots = sorted((r.slot, r.k, r.block) for r in mixing.schedule(spark, plan, 8).collect())
+    needed = [7500, 3125, 1875, 0]
+    assert [sum(k == s for _, k, _ in slots) for s in range(4)] == needed
+    for s in range(3):
+        assert [b for _, k, b in slots if k == s] == [*range(needed[s])]
+        count, worst = 0, 0.0
+        for i, (_, k, _) in enumerate(slots, 1):
+            count += k == s
+            worst = max(worst, abs(count - i * needed[s] / sum(needed)))
+        assert worst < 8  # a random order strays by about 50
+
+
+def test_mixing_tells_the_first_slot(docs):
+    placed, pieces = mixing.mix(docs, block_words=7)
+    got = mixing.taken(placed, pieces).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    at = {(r.k, r.begin): r.slot for r in pieces.groupBy("k", "begin").agg(common.F.min("slot").alias("slot")).collect()}
+    assert sorted(r.first_slot for r in got if r.taken) == sorted(at[r.k, r.begin] for r in placed.collect() if (r.k, r.begin) in at and r["size"])
+
+
 def test_targets():
     r = random.Random(2)
     for _ in range(100):
@@ -296,6 +376,34 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.lcs([1, 2, 3, 2], [3, 1, 2, 2]) == 3
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every document against every item at every place, by the decision alone."""
+    r = random.Random(31)
+    items = [text(r.choice((12, 20, 35, 60)), r) for _ in range(12)]
+    rows = []
+    for k in range(60):
+        words = text(r.randint(20, 150), r).split()
+        if k % 2:
+            item = r.choice(items).split()
+            words[(at := r.randrange(len(words))) : at] = [w if r.random() > (k % 7) / 15 else r.choice(WORDS) for w in item]
+        rows.append((k, " ".join(words)))
+    coded = {w: n + 1 for n, w in enumerate(sorted({w for t in items for w in decontaminate.words_of(t)}))}
+    want = set()
+    for k, t in rows:
+        ids = decontaminate.code(t, coded).tolist()
+        for n, item in enumerate(items):
+            words, answer = ([coded[w] for w in decontaminate.words_of(x)] for x in (item, decontaminate.answer_of(item)))
+            near = [ids[a : a + len(words) + 10] for a in range(max(1, len(ids) - len(words) + 1))]
+            if any(decontaminate.lcs(words, x) >= decontaminate.COVERED * len(words) and decontaminate.lcs(answer, x) >= decontaminate.ANSWER * len(answer) for x in near):
+                want.add((k, n))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)][::-1], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, benchmark).collect()}
+    assert want and len(want & got) >= 0.95 * len(want) and got >= {(k, n) for k, n in want if items[n] in rows[k][1]}
+    parts = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, benchmark, max_items=5).collect()}
+    assert parts >= {(k, n) for k, n in want if items[n] in rows[k][1]} and len(want & parts) >= 0.95 * len(want)
+    assert [len(g) for g in decontaminate.item_groups([(n, t, decontaminate.words_of(t)) for n, t in enumerate(items)], 5, 10**6)] == [5, 5, 2]
+
+
 def test_verbatim_items_need_no_cosine(spark):
     r = random.Random(4)
     items = [text(n, r) for n in (2, 3, 5, 16, 16, 17, 40, 90)]
@@ -371,6 +479,27 @@ def test_toxicity(spark, docs, empty):
     assert {r.doc_id: r.score for r in toxicity.scored(docs, *bare).collect()}[13] > got[1]
 
 
+def test_labels_of_the_held_out_fold_change_nothing(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(k, text(50, r) + (f" grulf{r.choice(['a', 'ib', 'um'])} x" if k % 5 == 0 else "")) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    out = []
+    for turned in (False, True):
+        labels = [(k, int((k % 5 == 0) != (turned and held(k)))) for k, _ in rows]
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        out.append(sorted(tuple(x) for x in toxicity.op3_toxicity(spark, str(tmp_path)).collect()))
+    assert out[0] == out[1]
+    assert all(h == held(k) and p == (s >= 0.7) and 0 <= s <= 1 for k, h, s, p in out[0])
+    assert np.mean([p == (k % 5 == 0) for k, h, s, p in out[0] if h]) > 0.97
+
+
+def test_scores_pass_other_columns_through(spark):
+    df = spark.createDataFrame([(1, "a", 7.5), (None, None, None)], "doc_id long, text string, score double")
+    got = toxicity.scored(df, *toxicity.train(df, df.selectExpr("doc_id", "1 as toxic").limit(0)), keep=df.columns, name="tox").collect()
+    assert [r.score for r in got] == [7.5, None] and all(r.tox < 0.7 for r in got)
+
+
 def test_toxic_terms_are_mined(spark):
     r = random.Random(5)
     rows = [(k, text(60, r) + (f" vrok{r.choice(['a', 'ib', 'um'])} " + text(5, r) if k % 6 == 0 else "")) for k in range(600)]
