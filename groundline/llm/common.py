@@ -68,7 +68,7 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
 def parts_for(df: DataFrame, each: int = 16 << 20, most: int = 100_000) -> int:
     """Partitions for a shuffle of what is made of ``df``: as many as the session has, or one for each ``each`` bytes of input."""
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 55 else 0  # Spark's figure where it has none is larger
     return max(1, session, min(most, -(-known // each)))
 

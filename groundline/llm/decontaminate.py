@@ -125,7 +125,7 @@ def _windows(blocks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(batches: Iterable[pa.RecordBatch], column: int, words: int = 200_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _batches(batches: Iterable[pa.RecordBatch], column: int, words: int = 100_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         held, begin, size = [], 0, 0
         for k in range(batch.num_rows):

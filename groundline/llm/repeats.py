@@ -1,27 +1,28 @@
-"""What operators 7 and 8 share: finding which windows of fixed length occur again, without shuffling every window.
+"""What operators 7 and 8 share: which windows of fixed length may occur again, without shuffling every window.
 
 A window of ``length`` symbols is filed under the least hash of the ``gram``
 symbol strings in it (a minimizer), so equal windows are filed alike.
 Neighbouring windows with one minimizer form a run; a run is known by its
-minimizer g and a hash c of all it spans. Only run records travel, packed in
-one compressed blob for each batch and bucket:
-
-1. runs that are equal as a whole (same g and c) settle all their windows; a
-   batch settles its own and sends one record for them;
-2. a minimizer with several different runs is open: one run of each kind goes
-   (if documents are ordered, all that the first document with it holds, unless
-   no document with the minimizer is earlier), with the symbols it spans, to a
-   shard by minimizer, and an index there (a suffix array, or an FM-index)
-   decides the single windows;
-3. covered stretches are gathered for each document and applied to its text.
-
-A task holds the records of a bucket of minimizers. A passage that k documents
-share costs a record for each batch, and one for each different run at its two
-ends; that is the largest group there is.
+minimizer g and a 128-bit cryptographic digest c of the bytes it spans.
+
+1. ``settle`` drops the runs whose minimizer no other run has: their windows
+   are unique. It decides nothing else. Only run records travel, packed in one
+   compressed blob for each batch and bucket.
+2. What is left is one class for each different run, with all its places
+   (members). One copy of each class goes, with the bytes it spans, to a shard
+   by minimizer (``contexts``), where an index (a suffix array, or an FM-index)
+   finds the stretches that occur again; ``in_shards`` bounds what an index holds.
+3. These stretches are carried to all members, gathered for each document and
+   applied to its text.
+
+A minimizer's classes are indexed together. A passage that k documents share is
+one class inside, and up to k different ones at its two ends: that is the
+largest group there is, and it holds each different run once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,9 +36,11 @@ from . import common
 NO_ID = (1 << 63) - 1
 SEGMENT = 1 << 20
 _R = 0x9E3779B97F4A7C15 | 1
-_RECORD = np.dtype([("g", "<u8"), ("c", "<u8"), ("id", "<i8"), ("h", "<i8"), ("at", "<u4"), ("n", "<u4"), ("many", "u1")])
+_RECORD = np.dtype([("g", "<u8"), ("c", "<u8"), ("d", "<u8"), ("id", "<i8"), ("h", "<i8"), ("at", "<u4"), ("n", "<u4"), ("many", "u1")])
 #: Flags of a record: its batch had several of its class; the run may repeat itself.
 MANY, TWICE = 1, 2
+#: Bytes of different runs that an index holds at a time, or those of one minimizer if they are more.
+SHARD_BYTES = 8 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -86,8 +89,13 @@ def _twice(grams: np.ndarray, least: np.ndarray, width: int, first: np.ndarray,
     return np.add.reduceat(same.astype(np.int64), np.cumsum(count) - count) > 1
 
 
-def runs(symbols: np.ndarray, length: int, gram: int, within: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(g, c, at, n, twice) of the runs of a document's windows, a segment at a time; n counts windows."""
+def runs(symbols: np.ndarray, data: bytes, length: int, gram: int, within: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(g, c, d, at, n, twice) of the runs of a document's windows, a segment at a time.
+
+    n counts windows, at most four times as many as a window has grams; c and d
+    are the digest of the run's part of ``data``, which holds the symbols' bytes.
+    """
+    width, most = len(data) // max(1, len(symbols)), 4 * (length - gram + 1)
     for begin in range(0, len(symbols) - length + 1, SEGMENT):
         x = symbols[begin : begin + SEGMENT + length - 1]
         up, down = powers(len(x) + 1)
@@ -95,12 +103,19 @@ def runs(symbols: np.ndarray, length: int, gram: int, within: bool) -> Iterator[
             sums = np.zeros(len(x) + 1, dtype=np.uint64)
             np.cumsum(x * up[: len(x)], out=sums[1:])
             grams = mix((sums[gram:] - sums[:-gram]) * down[: len(x) - gram + 1])
-            least = sliding_least(grams, length - gram + 1)
-            first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-            n = np.diff(np.append(first, len(least)))
-            c = mix(mix((sums[first + n + length - 1] - sums[first]) * down[first]) + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        least = sliding_least(grams, length - gram + 1)
+        first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        n = np.diff(np.append(first, len(least)))
+        if n.max() > most:
+            pieces = -(-n // most)
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first, n = np.repeat(first, pieces) + most * nth, np.minimum(np.repeat(n, pieces) - most * nth, most)
+        low = ((first + begin) * width).tolist()
+        high = ((first + begin + n + length - 1) * width).tolist()
+        digest = hashlib.blake2b
+        c = np.frombuffer(b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(low, high)]), dtype="<u8")
         twice = _twice(grams, least, length - gram + 1, first, n) if within else np.zeros(len(n), bool)
-        yield least[first], c, first + begin, n, twice
+        yield least[first], c[::2], c[1::2], first + begin, n, twice
 
 
 def packed(records: np.ndarray) -> bytes:
@@ -119,29 +134,30 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out
 
 
-def _groups(r: np.ndarray, ordered: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records sorted by g and c (and id, if documents are ordered), first places of classes, settled records."""
-    keys = (r["at"], r["h"], r["id"], r["c"], r["g"]) if ordered else (r["c"], r["g"])
-    r = r[np.lexsort(keys)]
+def _classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records sorted by minimizer, class and document, and the first places of minimizers and of classes."""
+    r = r[np.lexsort((r["at"], r["h"], r["id"], r["d"], r["c"], r["g"]))]
     new = np.ones(len(r), bool)
-    new[1:] = (r["g"][1:] != r["g"][:-1]) | (r["c"][1:] != r["c"][:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(r)))
-    if ordered:  # what stands in a later document than the first
-        settled = r["id"] > np.repeat(r["id"][first], size)
-    else:
-        many = np.maximum.reduceat(r["many"] & MANY, first) if len(r) else np.empty(0, bool)
-        settled = np.repeat((size > 1) | (many > 0), size)
-    return r, first, settled
+    new[1:] = r["g"][1:] != r["g"][:-1]
+    minimizers = np.flatnonzero(new)
+    new[1:] |= (r["c"][1:] != r["c"][:-1]) | (r["d"][1:] != r["d"][:-1])
+    return r, minimizers, np.flatnonzero(new)
+
+
+def _later(r: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a record's document has a greater id than its class's first one."""
+    return r["id"] > np.repeat(r["id"][first], np.diff(np.append(first, len(r))))
 
 
-_OUT = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("g", pa.int64())])
-COVER, OPEN = 0, 1
+_OUT = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("c", pa.int64()), ("d", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("flag", pa.bool_())])
+RUNS = "kind int, g long, c long, d long, id long, h long, at long, n long, flag boolean"
+#: A place of a class (flag: in a later document than its first), or the class itself at its first place (flag: it has several places, or later documents).
+MEMBER, CLASS = 0, 1
 
 
-def _rows(kind: int, r: np.ndarray) -> pa.RecordBatch:
-    fill = pa.array(np.full(len(r), kind, np.int32))
-    return pa.RecordBatch.from_arrays([fill, *(pa.array(np.ascontiguousarray(r[f])) for f in ("id", "h")), *(pa.array(r[f].astype(np.int64)) for f in ("at", "n")), pa.array(r["g"].view(np.int64) if r["g"].flags.c_contiguous else np.ascontiguousarray(r["g"]).view(np.int64))], schema=_OUT)
+def _rows(kind: int, r: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+    signed = [pa.array(np.ascontiguousarray(r[f]).view(np.int64)) for f in ("g", "c", "d", "id", "h")]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), kind, np.int32)), *signed, *(pa.array(r[f].astype(np.int64)) for f in ("at", "n")), pa.array(flag)], schema=_OUT)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -150,10 +166,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def settle(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int, gram: int, ordered: bool) -> DataFrame:
-    """(kind, id, h, at, n, g): covered stretches of windows, and the runs that stay open; written."""
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def settle(docs: DataFrame, symbols: Callable[[bytes], tuple[np.ndarray, bytes]], length: int, gram: int, ordered: bool) -> DataFrame:
+    """The classes whose windows may occur again, and their members (``RUNS``), written.
+
+    ``symbols`` gives a text's symbols and their bytes. If documents are
+    ``ordered``, a minimizer that one document alone has is dropped too.
+    """
+    buckets = common.parts_for(docs)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,23 +180,25 @@ def settle(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int,
                 part = batch.slice(begin, 4096)
                 found: list[np.ndarray] = []
                 for doc_id, h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
-                    for g, c, at, n, twice in runs(symbols(text.as_py().encode()), length, gram, not ordered):
+                    for g, c, d, at, n, twice in runs(*symbols(text.as_py().encode()), length, gram, not ordered):
                         r = np.empty(len(g), dtype=_RECORD)
-                        r["g"], r["c"], r["id"], r["h"], r["at"], r["n"], r["many"] = g, c, doc_id, h, at, n, TWICE * twice
+                        r["g"], r["c"], r["d"], r["id"], r["h"], r["at"], r["n"], r["many"] = g, c, d, doc_id, h, at, n, TWICE * twice
                         found.append(r)
                 if not found:
                     continue
-                sent = np.concatenate(found)
+                r, _, first = _classes(np.concatenate(found))
                 del found
-                r, first, settled = _groups(sent, ordered)
-                one = np.zeros(len(r), bool)
-                one[first] = True
-                # a class that the batch settles is sent once; the rest of it needs no answer
-                done = r[settled & ~one]
-                r["many"][first] |= settled[first].astype(np.uint8) * MANY
-                r = r[~(settled & ~one)]
-                order = np.lexsort((r["at"], r["id"], r["g"] % buckets))
-                r = r[order]
+                # of a class that has several places here the first alone stands for the others, which need no answer
+                size = np.diff(np.append(first, len(r)))
+                if ordered:
+                    spare = _later(r, first)
+                    r["many"][first] |= (np.add.reduceat(spare.astype(int), first) > 0).astype(np.uint8) * MANY
+                else:
+                    spare = np.ones(len(r), bool)
+                    spare[first] = False
+                    r["many"][first] |= (size > 1).astype(np.uint8) * MANY
+                done, r = r[spare], r[~spare]
+                r = r[np.lexsort((r["at"], r["id"], r["g"] % buckets))]
                 to = (r["g"] % buckets).astype(np.int32)
                 edges = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(r))
                 rows = [(int(to[a]), packed(r[a:b])) for a, b in zip(edges[:-1], edges[1:])]
@@ -191,49 +212,82 @@ def settle(docs: DataFrame, symbols: Callable[[bytes], np.ndarray], length: int,
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 r = unpacked(blob.as_py())
                 if bucket < 0:
-                    yield _rows(COVER, r)
+                    yield _rows(MEMBER, r, np.full(len(r), ordered))
                 else:
                     held.setdefault(bucket, []).append(r)
         for bucket in [*held]:
-            r, first, settled = _groups(np.concatenate(held.pop(bucket)), ordered)
-            yield _rows(COVER, r[settled])
-            # minimizers with several classes, unless all are settled; the first of each class stands for it
-            classes = r[first]
-            new = np.ones(len(classes), bool)
-            new[1:] = classes["g"][1:] != classes["g"][:-1]
-            start = np.flatnonzero(new)
-            size = np.diff(np.append(start, len(classes)))
-            unsettled = np.add.reduceat((~settled[first]).astype(int), start) if len(start) else size
-            alone = (classes["many"] & TWICE > 0) & ~settled[first]
-            opened = np.repeat((size > 1) & (unsettled > 0), size)
-            yield _rows(OPEN, classes[opened | alone])
-            if ordered and len(r):
-                # the first's document may hold the class at more places; they matter where a smaller id has the minimizer too
-                least = np.repeat(np.minimum.reduceat(classes["id"], start), size)
-                more = np.repeat(opened & (classes["id"] > least), np.diff(np.append(first, len(r)))) & ~settled
-                more[first] = False
-                more[1:] &= (r["at"][1:] != r["at"][:-1]) | (r["h"][1:] != r["h"][:-1])
-                yield _rows(OPEN, r[more])
-
-    sent = keyed(docs).mapInArrow(send, "bucket int, blob binary")
+            r, minimizers, first = _classes(np.concatenate(held.pop(bucket)))
+            size = np.diff(np.append(minimizers, len(r)))
+            kept = np.bitwise_or.reduceat(r["many"], minimizers) > 0
+            if ordered:
+                kept |= np.maximum.reduceat(r["id"], minimizers) > np.minimum.reduceat(r["id"], minimizers)
+            else:
+                kept |= size > 1
+            held_places = np.repeat(kept, size)
+            later = _later(r, first) if ordered else np.zeros(len(r), bool)
+            more = np.diff(np.append(first, len(r))) > 1 if not ordered else np.add.reduceat(later.astype(int), first) > 0
+            more |= np.bitwise_or.reduceat(r["many"] & MANY, first) > 0
+            yield _rows(CLASS, r[first[held_places[first]]], more[held_places[first]])
+            yield _rows(MEMBER, r[held_places], later[held_places])
+
+    sent = keyed(docs).transform(common.in_arrow, send, "bucket int, blob binary")
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.col("bucket"))
-    out = sent.repartition(buckets, place).mapInArrow(decide, "kind int, id long, h long, at long, n long, g long")
-    return common.written(out, "repeat-runs")
+    return common.written(sent.repartition(buckets, place).transform(common.in_arrow, decide, RUNS), "repeat-runs")
 
 
-def contexts(docs: DataFrame, open_runs: DataFrame, span: Callable[[bytes], Callable[[int, int], bytes]]) -> DataFrame:
-    """(g, id, h, at, n, data): the symbols that each open run spans, dealt by minimizer."""
-    wanted = open_runs.groupBy("id", "h").agg(F.collect_list(F.struct("g", "at", "n")).alias("wanted"))
+def contexts(docs: DataFrame, found: DataFrame, span: Callable[[bytes], Callable[[int, int], bytes]]) -> DataFrame:
+    """(g, c, d, owner, flag, data): one copy of each class with the bytes that it spans, dealt and sorted by minimizer."""
+    wanted = found.where(F.col("kind") == CLASS).groupBy("id", "h").agg(F.collect_list(F.struct("g", "c", "d", "at", "n", "flag")).alias("wanted"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, h, text, wants in zip(*(batch.column(k) for k in range(4))):
-                take, wants = span(text.as_py().encode()), wants.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([w["g"] for w in wants], pa.int64()), pa.array([doc_id.as_py()] * len(wants), pa.int64()), pa.array([h.as_py()] * len(wants), pa.int64()), pa.array([w["at"] for w in wants], pa.int64()), pa.array([w["n"] for w in wants], pa.int64()), pa.array([take(w["at"], w["n"]) for w in wants], pa.binary())], ["g", "id", "h", "at", "n", "data"])
+            for doc_id, text, wants in zip(batch.column(0), batch.column(1), batch.column(2)):
+                take, places = span(text.as_py().encode()), wants.values
+                g, c, d, at, n, flag = (places.field(k) for k in range(6))
+                data = [take(a, b) for a, b in zip(at.to_pylist(), n.to_pylist())]
+                yield pa.RecordBatch.from_arrays([g, c, d, pa.array([doc_id.as_py()] * len(data), pa.int64()), flag, pa.array(data, pa.binary())], ["g", "c", "d", "owner", "flag", "data"])
+
+    joined = keyed(docs).join(wanted, ["id", "h"]).select("id", "text", "wanted")
+    rows = joined.transform(common.in_arrow, cut, "g long, c long, d long, owner long, flag boolean, data binary")
+    return rows.repartition(common.parts_for(docs), "g").sortWithinPartitions("g")
 
-    joined = keyed(docs).join(wanted, ["id", "h"]).select("id", "h", "text", "wanted")
 
-    return joined.mapInArrow(cut, "g long, id long, h long, at long, n long, data binary")
+def in_shards(rows: DataFrame, index: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``index(g, c, d, owner, flag, lengths, data)`` over as many minimizers of ``contexts`` at a time as ``SHARD_BYTES`` allow."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def shard(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            c, d = (table.column(f).to_numpy() for f in "cd")
+            order = np.lexsort((d, c))
+            again = order[1:][(c[order][1:] == c[order][:-1]) & (d[order][1:] == d[order][:-1])]
+            if len(again):  # rows that repeat an id and its text bring their classes again
+                table = table.filter(pa.array(~np.isin(np.arange(len(c)), again)))
+            table = table.combine_chunks()
+            data = table.column("data").chunk(0)
+            offsets = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]
+            columns = [table.column(f).to_numpy() for f in ("g", "c", "d", "owner", "flag")]
+            yield from index(*columns, np.diff(offsets).astype(np.int64), data.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes())
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                held.append(part)
+                size += part.column(5).nbytes
+                if size >= SHARD_BYTES:
+                    table = pa.Table.from_batches(held)
+                    g = table.column("g").to_numpy()
+                    last = int(np.searchsorted(g, g[-1]))  # its minimizer may go on
+                    if last:
+                        yield from shard(table.slice(0, last))
+                        held = table.slice(last).to_batches()
+                        size = sum(x.column(5).nbytes for x in held)
+        if held and sum(x.num_rows for x in held):
+            yield from shard(pa.Table.from_batches(held))
+
+    return rows.transform(common.in_arrow, run, schema)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -248,6 +302,14 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def carried(found: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(id, h, a, b): ``stretches`` (c, d, flag, from, to) of classes at all places of these; a null flag goes to all members."""
+    members = found.where(F.col("kind") == MEMBER).select("c", "d", "id", "h", "at", "flag")
+    stretches = stretches.select(F.col("c").alias("of_c"), F.col("d").alias("of_d"), F.col("flag").alias("of_flag"), "from", "to")
+    same = (members["c"] == stretches["of_c"]) & (members["d"] == stretches["of_d"]) & F.coalesce(stretches["of_flag"] == members["flag"], F.lit(True))
+    return members.join(stretches, same).select("id", "h", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to")).alias("b"))
+
+
 def apply(docs: DataFrame, covered: DataFrame, finish: Callable[[bytes, list[tuple[int, int]]], tuple], names: str) -> DataFrame:
     """doc_id and what ``finish(text, stretches)`` gives, for every row; ``covered`` has (id, h, a, b) in symbols."""
     stretches = covered.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("cover"))

@@ -1,32 +1,36 @@
-"""Operator 8: removal of words in windows that an earlier document has, by FM-indexes.
-
-Runs of windows are settled or left open as described in ``repeats``; for
-documents in the order of their ids, a run is settled in all documents but the
-first that has it. The open runs are indexed shard by shard with a compressed
-FM-index: the Burrows-Wheeler transform of their words in a wavelet matrix of
-bit vectors with block counts. Documents are streamed against it: backward
-search gives, for the windows of all of them at a time, the interval of
-suffixes that begin with the window, and a range minimum over it the first
-document that has it; windows above the threshold length that an earlier
-document has are reported as intervals. A search ends as soon as its interval
-holds one suffix, which is the window itself.
+"""Operator 8: removal of words in windows that an earlier document has, by FM-indexes and matching statistics.
+
+``repeats`` drops the windows whose minimizer no other document has. Of what is
+left, one copy of each different run is indexed, shard by shard, in a compressed
+FM-index: the Burrows-Wheeler transform of the runs' words in a wavelet matrix
+(bit vectors with block counts), the documents that the suffixes are from in a
+second one, and the common prefixes of neighbours with their next smaller values.
+
+The documents' runs are streamed against it from their last word to their
+first. Backward search takes the next word while some document with a smaller
+id has what is matched (the least document of an interval of suffixes is a walk
+down the second matrix); where it fails, the match is cut to the longest prefix
+that more suffixes have, and it goes on. That gives at each word the length of
+the longest string from there on that an earlier document has, the matching
+statistic; where it is ``length`` words or more, the string is reported.
+Equal runs of one document, and those of all documents after the first with
+them, have the same statistics, so each is streamed once for either.
 
 Defined results: a null text has no words; a null id counts as later than any
-other; rows that repeat an id are one document in this order, so they don't
-take words from each other; other columns are ignored; an empty table gives no
-row.
+other, as does the largest id; rows that repeat an id are one document in this
+order, so they don't take words from each other; other columns are ignored; an
+empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common, repeats
 from .suffix_dedup import suffix_order
@@ -34,9 +38,10 @@ from .suffix_dedup import suffix_order
 LENGTH, GRAM = 13, 4
 
 
-def symbols(text: bytes) -> np.ndarray:
+def symbols(text: bytes) -> tuple[np.ndarray, bytes]:
     words = text.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    found = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return found, found.tobytes()
 
 
 class BitVector:
@@ -47,12 +52,12 @@ class BitVector:
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
         ones = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.cumsum(ones) - ones
+        self.before = (np.cumsum(ones) - ones).astype(np.uint32 if len(bits) < 1 << 32 else np.int64)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         word = at >> 6
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & mask)
 
 
 class WaveletMatrix:
@@ -79,103 +84,146 @@ class WaveletMatrix:
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self._walk(symbol, at) - self.base[symbol]
 
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least value between each ``low`` and ``high``, which is greater."""
+        value = np.zeros(len(low), dtype=np.int64)
+        for bits, zeros in zip(self.bits, self.zeros):
+            a, b = bits.rank(low), bits.rank(high)
+            ones = (high - low) == (b - a)
+            low, high = np.where(ones, zeros + a, low - a), np.where(ones, zeros + b, high - b)
+            value = 2 * value + ones
+        return value
+
+
+def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest places before and after each with a smaller value; -1 and the length where there is none.
+
+    Places point to their neighbour and, while that is no smaller, on to where it points.
+    """
+    out = []
+    for v in (values, values[::-1]):
+        to, live = np.arange(-1, len(v) - 1), np.arange(len(v))
+        while len(live):
+            at = to[live]
+            live = live[(at >= 0) & (v[np.maximum(at, 0)] >= v[live])]
+            to[live] = to[to[live]]
+        out.append(to)
+    return out[0], len(values) - 1 - out[1][::-1]
+
 
 class FMIndex:
-    """Backward search over strings of symbols, with the least owner in any interval of suffixes."""
+    """Matching statistics of strings of symbols against the strings of documents with smaller numbers."""
 
-    def __init__(self, strings: list[np.ndarray], owners: np.ndarray):
-        lengths = np.array([len(s) for s in strings], dtype=np.int64)
-        names, coded = np.unique(np.concatenate(strings), return_inverse=True)
+    def __init__(self, text: np.ndarray, lengths: np.ndarray, owners: np.ndarray):
+        """``text`` has the strings one after another; ``owners`` are numbers from 0."""
+        names, coded = np.unique(text, return_inverse=True)
         self.symbols = len(names) + 1  # the last one ends a string
-        total = int(lengths.sum()) + len(strings)
+        total = int(lengths.sum()) + len(lengths)
         ends = np.cumsum(lengths + 1)
         inner = np.ones(total, bool)
         inner[ends - 1] = False
         text = np.empty(total, dtype=np.int64)
         text[inner] = coded
-        text[ends - 1] = len(names) + np.arange(len(strings))
+        text[ends - 1] = len(names) + np.arange(len(lengths))
         order = suffix_order(text, np.arange(total), int(lengths.max()) + 2)
+        self.common = self._common(text, order)
         text[ends - 1] = len(names)
-        self.text, self.begin, self.lengths = text, ends - lengths - 1, lengths
+        self.text, self.ends, self.lengths = text.astype(np.int32), ends - 1, lengths
         self.matrix = WaveletMatrix(text[order - 1], self.symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.symbols))])
-        owner = np.repeat(owners, lengths + 1)[order]
-        self.least = [owner]
-        step = 1
-        while 2 * step <= total:
-            last = self.least[-1]
-            self.least.append(np.minimum(last[:-step], last[step:]))
-            step *= 2
-
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        level = np.log2(high - low).astype(np.int64)
-        out = np.empty(len(low), dtype=self.least[0].dtype)
-        for k in np.unique(level):
-            here = level == k
-            t = self.least[k]
-            out[here] = np.minimum(t[low[here]], t[high[here] - (1 << int(k))])
+        self.owners = WaveletMatrix(np.repeat(owners, lengths + 1)[order], int(owners.max()) + 1)
+        low, high = smaller_neighbours(self.common)
+        self.low, self.high = low.astype(np.int32), high.astype(np.int32)
+
+    @staticmethod
+    def _common(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of each suffix and the one before; -1 at both ends."""
+        out = np.zeros(len(order) + 1, dtype=np.int32)
+        out[0] = out[-1] = -1
+        live, depth = np.arange(1, len(order)), 0
+        while len(live):  # ends of strings are unique, so no comparison passes one
+            live = live[text[order[live - 1] + depth] == text[order[live] + depth]]
+            depth += 1
+            out[live] = depth
         return out
 
-    def search(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of suffixes for each window of the indexed text; it stops growing at one suffix (low + 1 = high)."""
-        symbol = self.text[starts + length - 1]
-        low, high = self.before[symbol], self.before[symbol + 1]
-        live = np.flatnonzero(high - low > 1)
-        for j in range(length - 2, -1, -1):
-            if not len(live):
-                break
-            symbol = self.text[starts[live] + j]
-            base = self.before[symbol]
-            a, b = base + self.matrix.rank(symbol, low[live]), base + self.matrix.rank(symbol, high[live])
-            low[live], high[live] = a, b
-            live = live[b - a > 1]
-        return low, high
-
-
-def earlier_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, h, a, b): words of each shard's contexts that windows of an earlier document cover."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[], [], [], []]
-        for batch in batches:
-            for held, column in zip(columns, batch.columns):
-                held.extend(column.to_pylist())
-        ids, hs, ats = (np.array(c, dtype=np.int64) for c in columns[:3])
-        if len(ids) < 2:
-            return
-        index = FMIndex([np.frombuffer(x, dtype=np.uint64) for x in columns[3]], ids)
-        windows = index.lengths - length + 1
-        which = np.repeat(np.arange(len(ids)), windows)
-        place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        for begin in range(0, len(which), 1 << 20):
-            w, p = which[begin : begin + (1 << 20)], place[begin : begin + (1 << 20)]
-            low, high = index.search(index.begin[w] + p, length)
-            shared = np.flatnonzero(high - low > 1)
-            shared = shared[index.least_owner(low[shared], high[shared]) < ids[w[shared]]]
-            if not len(shared):
-                continue
-            w, p = w[shared], p[shared]
-            new = np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1] + 1)])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(w)) - 1
-            a, b = ats[w[first]] + p[first], ats[w[first]] + p[last] + length
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[w[first]], hs[w[first]], a, b)], ["id", "h", "a", "b"])
-
-    return rows.mapInArrow(run, "id long, h long, a long, b long")
+    def statistics(self, which: np.ndarray, under: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the strings ``which``, the longest match at each symbol with a string of an owner below ``under``.
+
+        Returns the statistics of all of them, one after another, and where each begins.
+        """
+        begin = np.cumsum(self.lengths[which]) - self.lengths[which]
+        out = np.zeros(int(self.lengths[which].sum()), dtype=np.int32)
+        live = np.arange(len(which))
+        left = self.lengths[which].copy()  # symbols not taken yet
+        first = self.ends[which] - self.lengths[which]
+        low, high = np.zeros(len(which), dtype=np.int64), np.full(len(which), len(self.text), dtype=np.int64)
+        depth = np.zeros(len(which), dtype=np.int64)
+        while len(live):
+            symbol = self.text[first[live] + left[live] - 1].astype(np.int64)
+            a = self.before[symbol] + self.matrix.rank(symbol, low[live])
+            b = self.before[symbol] + self.matrix.rank(symbol, high[live])
+            good = b > a
+            good[good] = self.owners.least(a[good], b[good]) < under[live[good]]
+            done = live[good]
+            low[done], high[done] = a[good], b[good]
+            depth[done] += 1
+            cut = live[~good]
+            none = cut[depth[cut] == 0]
+            cut = cut[depth[cut] > 0]
+            # the longest prefix of the match that more suffixes have
+            x, y = self.common[low[cut]], self.common[high[cut]]
+            depth[cut] = np.maximum(np.maximum(x, y), 0)
+            low[cut], high[cut] = np.where(x >= y, self.low[low[cut]], low[cut]), np.where(y >= x, self.high[high[cut]], high[cut])
+            root = cut[depth[cut] == 0]
+            low[root], high[root] = 0, len(self.text)
+            for took in (done, none):
+                left[took] -= 1
+                out[begin[took] + left[took]] = depth[took]
+            live = live[left[live] > 0]
+        return out, begin
+
+
+SHARED = "c long, d long, flag boolean, from long, to long"
+
+
+def earlier_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(c, d, flag, from, to): the strings of each class that an earlier document has, for its first document and (flag) for later ones."""
+
+    def run(g: np.ndarray, c: np.ndarray, d: np.ndarray, owner: np.ndarray, several: np.ndarray, lengths: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        lengths = lengths // 8
+        ids, owner = np.unique(owner, return_inverse=True)
+        index = FMIndex(np.frombuffer(data, dtype=np.uint64), lengths, owner)
+        # the first document of a minimizer has nothing before it
+        new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        least = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(g))))
+        first, later = np.flatnonzero(owner > least), np.flatnonzero(several)
+        for which, under, flag in ((first, owner[first], False), (later, np.full(len(later), len(ids)), True)):
+            for at in range(0, len(which), 1 << 16):
+                some = which[at : at + (1 << 16)]
+                found, begin = index.statistics(some, under[at : at + (1 << 16)])
+                place = np.flatnonzero(found >= length)
+                # a match that begins one symbol later and ends at the same place says nothing new
+                string = np.searchsorted(begin, place, side="right") - 1
+                new = np.ones(len(place), bool)
+                new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1) | (found[place[1:]] != found[place[:-1]] - 1)
+                place, string = place[new], string[new]
+                begins = place - begin[string]
+                columns = (c[some[string]], d[some[string]], np.full(len(place), flag), begins, begins + found[place])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "d", "flag", "from", "to"])
+
+    return repeats.in_shards(rows, run, SHARED)
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, h, a, b): word stretches of documents in windows that a document with a smaller id has."""
+    """(id, h, a, b): word stretches of documents in strings of ``length`` or more that a document with a smaller id has."""
     found = repeats.settle(docs, symbols, length, gram, ordered=True)
-    cover = found.where(F.col("kind") == repeats.COVER).select("id", "h", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
 
     def span(text: bytes):
-        found = symbols(text)
-        return lambda at, n: found[at : at + n + length - 1].tobytes()
+        words, _ = symbols(text)
+        return lambda at, n: words[at : at + n + length - 1].tobytes()
 
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    open_runs = repeats.contexts(docs, found.where(F.col("kind") == repeats.OPEN), span).repartition(parts, "g")
-    return cover.unionByName(earlier_windows(open_runs.select("id", "h", "at", "data"), length))
+    return repeats.carried(found, earlier_strings(repeats.contexts(docs, found, span), length))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

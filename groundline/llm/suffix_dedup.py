@@ -1,11 +1,18 @@
 """Operator 7: removal of byte strings that occur again, by enhanced suffix arrays.
 
-Runs of windows are settled or left open as described in ``repeats``. The open
-ones are indexed shard by shard: a suffix array of the suffixes that share
-``length`` bytes with another, the common prefixes of neighbours, and a stack
-scan that builds the tree of common-prefix intervals. An interval whose suffixes are preceded by different bytes (or by
-none) is a maximal repeat; it is reported with all its occurrences, not just
-neighbours: each suffix names its deepest interval and each interval its parent.
+``repeats`` drops the windows whose minimizer no other run has. Of what is left,
+one copy of each different run is indexed, shard by shard: a suffix array of
+the suffixes that share ``length`` bytes with another, held against each other
+byte by byte, the common prefixes of neighbours, and a stack scan that builds
+the tree of common-prefix intervals. An interval whose suffixes are preceded by
+different bytes (or by none) is a maximal repeat; so is a run that has several
+places, as a whole. Each suffix names the deepest maximal repeat that it begins
+and each repeat the one above, so all occurrences of all groups take one row a
+suffix: those of a group are its own and those of the groups under it, at all
+places of their runs. The removed bytes are the union of these occurrences.
+
+Strings are maximal within the runs of a shard: a longer repeat is a chain of
+groups that overlap.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose
 nothing; rows that repeat an id and its text are documents of their own, so
@@ -16,10 +23,12 @@ ignored; an empty table gives no row.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +38,8 @@ LENGTH, GRAM = 200, 50
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def symbols(text: bytes) -> np.ndarray:
-    return _BYTES[np.frombuffer(text, dtype=np.uint8)]
+def symbols(text: bytes) -> tuple[np.ndarray, bytes]:
+    return _BYTES[np.frombuffer(text, dtype=np.uint8)], text
 
 
 def suffix_order(values: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -79,11 +88,11 @@ def repeated_suffixes(data: bytes, ends: np.ndarray, starts: np.ndarray, least:
     """The suffixes at ``starts`` that share ``least`` bytes with another: in order, with common prefixes.
 
     ``ends`` has the end of each suffix's string. Suffixes are put together by
-    a hash of their first ``least`` bytes and then sorted by what follows,
-    eight bytes a round, in which only those still alike take part. A common
-    prefix under ``least`` counts as 0.
+    a hash of their first ``least`` bytes, which are then compared, and sorted
+    by what follows, eight bytes a round, in which only those still alike take
+    part. A common prefix under ``least`` counts as 0.
     """
-    x = symbols(data)
+    x, _ = symbols(data)
     up, down = repeats.powers(len(x) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(x) + 1, dtype=np.uint64)
@@ -99,6 +108,15 @@ def repeated_suffixes(data: bytes, ends: np.ndarray, starts: np.ndarray, least:
         return at, at
     eight = _eight(data + bytes(8))
     first = np.concatenate([[True], rank[1:] != rank[:-1]])
+    heads = [*range(0, least - 7, 8), max(0, least - 8)] if least >= 8 else []
+    rest = np.flatnonzero(~first)
+    if any((eight[at[rest] + k] != eight[at[rest - 1] + k]).any() for k in heads):
+        # equal hashes of different bytes: sorted by the bytes themselves
+        order = np.lexsort([*(eight[at + k] for k in reversed(heads)), rank])
+        at, end, rank = at[order], end[order], rank[order]
+        first = np.concatenate([[True], rank[1:] != rank[:-1]])
+        for k in heads:
+            first[1:] |= eight[at[1:] + k] != eight[at[:-1] + k]
     rank = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
     place = np.arange(len(at))  # suffixes in their present order
     lcp = np.where(first, 0, least)
@@ -165,67 +183,118 @@ def intervals(lcp: np.ndarray, before: np.ndarray, least: int) -> tuple[list[tup
     return [tuple(x[:5]) for x in found], deepest
 
 
-def _shard(rows: list[tuple[int, int, int, bytes]], least: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """Suffixes of a shard's strings that occur again: owner and place of each, and their intervals."""
-    lengths = np.array([len(r[3]) for r in rows], dtype=np.int64)
-    data, ends = b"".join(r[3] for r in rows), np.cumsum(lengths)
+def _shard(lengths: np.ndarray, data: bytes, least: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+    """Suffixes of the strings in ``data`` that occur again: number of the string and place of each, and their intervals."""
+    ends = np.cumsum(lengths)
     windows = np.maximum(lengths - least + 1, 0)
-    owner = np.repeat(np.arange(len(rows)), windows)
+    owner = np.repeat(np.arange(len(lengths)), windows)
     starts = np.arange(windows.sum()) + np.repeat(ends - lengths - (np.cumsum(windows) - windows), windows)
     order, lcp = repeated_suffixes(data, ends[owner], starts, least)
     owner = np.searchsorted(ends, order, side="right")
     place = order - (ends - lengths)[owner]
     left = np.frombuffer(data, dtype=np.uint8)
-    before = np.where(place > 0, left[order - 1].astype(np.int64), -1 - order)
+    before = np.where(place > 0, left[order - 1].astype(np.int64), -1 - order) if len(order) else order
     found, deepest = intervals(lcp, before, least)
     return owner, place, found, deepest
 
 
-def maximal_repeats(rows: list[tuple[int, int, int, bytes]], least: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(length, [(row number, place)]) of every maximal repeat of the strings in ``rows`` (id, h, at, data)."""
-    owner, place, found, _ = _shard(rows, least)
+def nearest_diverse(found: list[tuple[int, int, int, int, bool]]) -> np.ndarray:
+    """For each interval the deepest one around it, itself included, that is a maximal repeat (-1: none); one more entry, -1, for none."""
+    parent = np.array([*(f[3] for f in found), -1], dtype=np.int64)
+    diverse = np.array([*(f[4] for f in found), True], dtype=bool)
+    out = np.append(np.arange(len(found)), -1)
+    while len(live := np.flatnonzero(~diverse[out])):
+        out[live] = parent[out[live]]
+    return out
+
+
+def maximal_repeats(strings: list[bytes], least: int = LENGTH) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(length, [(number of the string, place)]) of every maximal repeat of ``strings``."""
+    owner, place, found, _ = _shard(np.array([*map(len, strings)], dtype=np.int64), b"".join(strings), least)
     return [(n, sorted(zip(owner[a:b].tolist(), place[a:b].tolist()))) for n, a, b, _, diverse in found if diverse]
 
 
+GROUPS = "c long, d long, flag boolean, from long, to long, of long, parent long, parent_length long"
+
+
 def repeat_groups(rows: DataFrame, least: int = LENGTH) -> DataFrame:
-    """(id, h, a, b): where the maximal repeats of each shard of contexts lie, each suffix in its deepest one."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(r["id"], r["h"], r["at"], r["data"]) for batch in batches for r in batch.to_pylist()]
-        if not held:
-            return
-        owner, place, found, deepest = _shard(held, least)
-        length = np.array([f[0] for f in found] + [0], dtype=np.int64)
-        diverse = np.array([f[4] for f in found] + [False], dtype=bool)
-        inside = np.flatnonzero(diverse[deepest])
-        at = np.array([r[2] for r in held], dtype=np.int64)[owner[inside]] + place[inside]
-        ids, hs = (np.array([r[k] for r in held], dtype=np.int64)[owner[inside]] for k in (0, 1))
-        # stretches of one document that overlap are joined here already
-        order = np.lexsort((at, hs, ids))
-        ids, hs, at, end = ids[order], hs[order], at[order], at[order] + length[deepest[inside[order]]]
-        if not len(at):
-            return
-        key = np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])])
-        group = np.cumsum(key) - 1
-        span = int(end.max()) + 1
-        reach = np.maximum.accumulate(end + group * span) - group * span
-        new = key.copy()
-        new[1:] |= at[1:] > reach[:-1]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first], hs[first], at[first], reach[last])], ["id", "h", "a", "b"])
-
-    return rows.mapInArrow(run, "id long, h long, a long, b long")
+    """(c, d, flag, from, to, of, parent, parent_length): where the maximal repeats of ``contexts`` lie.
 
+    A row is an occurrence at all places of the class (c, d), from ``from`` to
+    ``to``, of the group ``of``, the deepest there; ``parent`` is the group of
+    shorter strings around it (null: none). ``flag`` is null.
+    """
 
-def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, h, a, b): byte stretches of documents that are covered by strings of ``length`` that occur again."""
+    def run(g: np.ndarray, c: np.ndarray, d: np.ndarray, first_id: np.ndarray, several: np.ndarray, lengths: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        owner, place, found, deepest = _shard(lengths, data, least)
+        nearest = nearest_diverse(found)
+        length = np.array([*(f[0] for f in found), 0], dtype=np.int64)
+        parent = np.array([*(f[3] for f in found), -1], dtype=np.int64)
+        # a run with several places repeats as a whole: a group under the one that its beginning has in the tree
+        around = np.full(len(lengths), -1, dtype=np.int64)
+        begins = np.flatnonzero(place == 0)
+        around[owner[begins]] = nearest[deepest[begins]]
+        whole = np.flatnonzero(several & (length[around] < lengths))
+        group = nearest[deepest]
+        inside = np.flatnonzero(group >= 0)
+        group, at, of = group[inside], place[inside], owner[inside]
+        # numbers of groups: as in the tree, then one for each run that repeats as a whole
+        base = xxhash.xxh64_intdigest(c[:1].tobytes() + d[:1].tobytes()) >> 1 & ~0xFFFFFFFF
+        above = np.concatenate([nearest[parent[group]], around[whole]])
+        columns = [
+            np.concatenate([c[of], c[whole]]), np.concatenate([d[of], d[whole]]), None, np.concatenate([at, np.zeros(len(whole), np.int64)]), np.concatenate([at + length[group], lengths[whole]]),
+            base + np.concatenate([group, len(found) + whole]), np.where(above >= 0, base + above, -1), length[above],
+        ]
+        n = len(columns[0])
+        for a in range(0, n, 100_000):
+            flat = [pa.nulls(len(columns[0][a : a + 100_000]), pa.bool_()) if x is None else pa.array(x[a : a + 100_000]) for x in columns]
+            yield pa.RecordBatch.from_arrays(flat, [x.split()[0] for x in GROUPS.split(", ")])
+
+    return repeats.in_shards(rows, run, GROUPS)
+
+
+def _occurrences(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The runs of ``docs`` and the maximal repeats in them."""
     found = repeats.settle(docs, symbols, length, gram, ordered=False)
-    cover = found.where(F.col("kind") == repeats.COVER).select("id", "h", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
     span = lambda text: lambda at, n: text[at : at + n + length - 1]
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    open_runs = repeats.contexts(docs, found.where(F.col("kind") == repeats.OPEN), span).repartition(parts, "g")
-    return cover.unionByName(repeat_groups(open_runs.select("id", "h", "at", "data"), length))
+    return found, repeat_groups(repeats.contexts(docs, found, span), length)
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(id, h, a, b): byte stretches of documents that maximal repeats of ``length`` or more cover."""
+    found, groups = _occurrences(docs, length, gram)
+    return repeats.carried(found, _merged(groups))
+
+
+def _merged(groups: DataFrame) -> DataFrame:
+    """The union of the occurrences in each class, as ``carried`` takes it."""
+    ordered = F.array_sort(F.collect_set(F.struct("from", "to")))
+    grown = F.aggregate(
+        ordered,
+        F.lit(None).cast("array<struct<from:bigint,to:bigint>>"),
+        lambda held, x: F.when(held.isNull(), F.array(x))
+        .when(F.element_at(held, -1)["to"] < x["from"], F.concat(held, F.array(x)))
+        .otherwise(F.concat(F.slice(held, 1, F.size(held) - 1), F.array(F.struct(F.element_at(held, -1)["from"].alias("from"), F.greatest(F.element_at(held, -1)["to"], x["to"]).alias("to"))))),
+    )
+    return groups.groupBy("c", "d").agg(grown.alias("s")).select("c", "d", F.lit(None).cast("boolean").alias("flag"), F.explode("s").alias("s")).select("c", "d", "flag", "s.from", "s.to")
+
+
+def groups_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rounds: int = 10_000) -> DataFrame:
+    """(of, length, doc_id, h, at): every occurrence of every maximal repeat group of ``docs``, those of the groups under it included."""
+    found, groups = _occurrences(docs, length, gram)
+    groups = common.written(groups, "repeat-groups")
+    up = groups.where("parent >= 0").select(F.col("of").alias("below"), "parent", "parent_length").distinct()
+    now = groups.select("of", (F.col("to") - F.col("from")).alias("length"), "c", "d", "from")
+    out = [now]
+    for _ in range(rounds):  # each round carries occurrences one group up
+        now = common.written(now.join(up, now["of"] == up["below"]).select(F.col("parent").alias("of"), F.col("parent_length").alias("length"), "c", "d", "from").distinct(), "repeat-parents")
+        if now.isEmpty():
+            break
+        out.append(now)
+    every = reduce(DataFrame.unionByName, out).distinct()
+    members = found.where(F.col("kind") == repeats.MEMBER).select("c", "d", F.col("id").alias("doc_id"), "h", "at")
+    doc_id = F.when(F.col("doc_id") != repeats.NO_ID, F.col("doc_id")).alias("doc_id")
+    return every.join(members, ["c", "d"]).select("of", "length", doc_id, "h", (F.col("at") + F.col("from")).alias("at")).distinct()
 
 
 def remove(text: bytes, stretches: list[tuple[int, int]]) -> bytes:

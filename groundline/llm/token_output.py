@@ -42,7 +42,7 @@ FRAME_BYTES = 1 << 18
 CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 
 #: Documents whose new words are encoded together.
-BATCH_DOCS = 4000
+BATCH_DOCS = 1000
 #: Documents whose ids are laid out together.
 LAYOUT_DOCS = 250
 
@@ -180,6 +180,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
             for at in range(0, len(texts), BATCH_DOCS):
                 for data in encoder(vocabulary, special_as_text).encode(texts[at : at + BATCH_DOCS].to_pylist()):
                     yield data + end
+            common.release()
 
         ids, frames, places, counts = [], [], [], []
         for batch in batches:

@@ -262,21 +262,78 @@ def test_suffix(docs, empty):
 def test_maximal_repeats():
     r = random.Random(3)
     for _ in range(60):
-        rows = [(k, 0, 0, bytes(r.choice(b"ab") for _ in range(r.randint(1, 14)))) for k in range(4)]
+        rows = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 14))) for _ in range(4)]
         places = collections.defaultdict(set)
         for k, row in enumerate(rows):
-            for a in range(len(row[3])):
-                for b in range(a + 3, len(row[3]) + 1):
-                    places[row[3][a:b]].add((k, a))
+            for a in range(len(row)):
+                for b in range(a + 3, len(row) + 1):
+                    places[row[a:b]].add((k, a))
         want = set()
         for s, at in places.items():
-            left = {rows[k][3][a - 1] if a else (k, a) for k, a in at}
-            right = {rows[k][3][a + len(s)] if a + len(s) < len(rows[k][3]) else (k, a) for k, a in at}
+            left = {rows[k][a - 1] if a else (k, a) for k, a in at}
+            right = {rows[k][a + len(s)] if a + len(s) < len(rows[k]) else (k, a) for k, a in at}
             if len(at) > 1 and len(left) > 1 and len(right) > 1:
                 want.add((len(s), tuple(sorted(at))))
         assert {(n, tuple(at)) for n, at in suffix_dedup.maximal_repeats(rows, 3)} == want
 
 
+def test_groups_have_all_their_occurrences(spark):
+    r = random.Random(41)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = noise(300), noise(260)
+    rows = [(1, noise(90) + p + noise(80)), (2, noise(50) + p + noise(70) + q), (3, q + noise(40) + p[40:280] + noise(60)), (4, noise(400)), (5, noise(30) + p + q + noise(10)), (5, "short"), (None, p + noise(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    places = collections.defaultdict(set)
+    for i, t in rows:
+        for k in range(len(t) - 199):
+            places[t[k : k + 200]].add((i, k))
+    seen = collections.defaultdict(set)
+    text = {(i, len(t)): t for i, t in rows}
+    by = {F_h: t for F_h, t in ((x.h, x.text) for x in df.select(common.F.xxhash64("text").alias("h"), "text").collect())}
+    strings = {}
+    for x in suffix_dedup.groups_of(df).collect():
+        s = by[x.h][x.at : x.at + x.length]
+        assert len(s) == x.length >= 200 and strings.setdefault(x.of, s) == s  # one string a group
+        seen[x.of].add((x.doc_id, x.at))
+    assert text and all(len(at) > 1 for at in seen.values())
+    covered = {(i, k) for s, at in strings.items() for i, a in seen[s] for k in range(a, a + len(at) - 199)}
+    assert covered == {x for at in places.values() if len(at) > 1 for x in at}
+    for of, s in strings.items():  # no occurrence of a group's string is missing
+        assert {(i, t.find(s)) for i, t in rows if s in t} <= seen[of]
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart(monkeypatch):
+    r = random.Random(2)
+    strings = [bytes(r.choice(b"abc") for _ in range(30)) for _ in range(3)]
+    strings += [strings[0][5:25] + b"zz", b"q" + strings[1][3:28]]
+    want = sorted(suffix_dedup.maximal_repeats(strings, 12))
+    monkeypatch.setattr(repeats, "mix", lambda x: x & np.uint64(1))
+    assert sorted(suffix_dedup.maximal_repeats(strings, 12)) == want and len(want) == 2
+
+
+def test_matching_statistics():
+    r = random.Random(11)
+    for _ in range(40):
+        strings = [[r.randrange(3) for _ in range(r.randint(1, 12))] for _ in range(r.randint(2, 9))]
+        owners = np.array([r.randrange(5) for _ in strings])
+        index = substring_dedup.FMIndex(np.array(sum(strings, []), dtype=np.uint64), np.array([*map(len, strings)]), owners)
+        which, under = np.arange(len(strings)), np.array([r.randrange(7) for _ in strings])
+        got, begin = index.statistics(which, under)
+        for k, s in enumerate(strings):
+            pool = {tuple(t[a:b]) for t, o in zip(strings, owners) if o < under[k] for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
+            want = [max([n for n in range(1, len(s) - a + 1) if tuple(s[a : a + n]) in pool], default=0) for a in range(len(s))]
+            assert got[begin[k] : begin[k] + len(s)].tolist() == want
+
+
+def test_smaller_neighbours():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 50, 400):
+        v = r.integers(0, 6, n)
+        low, high = substring_dedup.smaller_neighbours(v)
+        assert low.tolist() == [max([j for j in range(i) if v[j] < v[i]], default=-1) for i in range(n)]
+        assert high.tolist() == [min([j for j in range(i + 1, n) if v[j] < v[i]], default=n) for i in range(n)]
+
+
 def test_substring(docs, empty):
     words = [(repeats.NO_ID if i is None else i, (t or "").encode().split()) for i, t, *_ in DOCS]
     first = {}
