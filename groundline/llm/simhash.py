@@ -168,9 +168,8 @@ class Forest:
         return True
 
 
-def _links(fps: np.ndarray, starts: np.ndarray, probes: np.ndarray, distance: int, forest: Forest) -> list[tuple[int, int]]:
-    """Spanning links of the buckets that begin at ``starts``."""
-    out = []
+def _links(fps: np.ndarray, starts: np.ndarray, probes: np.ndarray, distance: int, forest: Forest) -> None:
+    """Puts the links of the buckets that begin at ``starts`` into the forest."""
     for begin, end in zip(starts, [*starts[1:], len(fps)]):
         if end - begin < 2:
             continue
@@ -193,22 +192,19 @@ def _links(fps: np.ndarray, starts: np.ndarray, probes: np.ndarray, distance: in
                 label = new
             moved = np.flatnonzero(label != np.arange(len(table)))
             for a, b in [*zip(some.tolist(), table[rows].tolist()), *zip(table[moved].tolist(), table[label[moved]].tolist())]:
-                if a != b and forest.join(a, b):
-                    out.append((a, b))
-    return out
+                if a != b:
+                    forest.join(a, b)
 
 
 def _bucket_links(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
-    """(a, b): links found in the buckets of ``rows``, a spanning forest for each task."""
+    """(a, b): links found in the buckets of ``rows``; each task links what it has found connected to the least of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         tail: list[np.ndarray] | None = None
 
-        def flush(cols: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
-            found = _links(cols[-2].view(np.uint64), edges, cols[-1], distance, forest)
-            pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        def look(cols: list[np.ndarray], edges: np.ndarray) -> None:
+            _links(cols[-2].view(np.uint64), edges, cols[-1], distance, forest)
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -223,9 +219,14 @@ def _bucket_links(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
                 held = np.repeat(sizes > 1, sizes)
                 kept = [c[:last][held] for c in cols]
                 if len(kept[0]):
-                    yield flush(kept, np.concatenate([[0], np.cumsum(sizes[sizes > 1])[:-1]]))
+                    look(kept, np.concatenate([[0], np.cumsum(sizes[sizes > 1])[:-1]]))
         if tail is not None and len(tail[0]) > 1:
-            yield flush(tail, np.array([0]))
+            look(tail, np.array([0]))
+        nodes = [*forest.up]
+        for at in range(0, len(nodes), _CHUNK):
+            part = nodes[at : at + _CHUNK]
+            a, b = np.array(part, dtype=np.uint64), np.array([forest.root(x) for x in part], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     spread = rows.select(*keys, "fp", "probe").repartition(*keys).sortWithinPartitions(*keys)
     return spread.transform(common.in_arrow, run, "a long, b long")
