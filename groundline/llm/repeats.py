@@ -136,7 +136,12 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 def _classes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records sorted by minimizer, class and document, and the first places of minimizers and of classes."""
-    r = r[np.lexsort((r["at"], r["h"], r["id"], r["d"], r["c"], r["g"]))]
+    order = np.argsort(r["g"], kind="stable")
+    g = r["g"][order]
+    alike = np.flatnonzero(np.concatenate([[False], g[1:] == g[:-1]]) | np.concatenate([g[1:] == g[:-1], [False]]))
+    some = r[order[alike]]
+    order[alike] = order[alike][np.lexsort((some["at"], some["h"], some["id"], some["d"], some["c"], some["g"]))]
+    r = r[order]
     new = np.ones(len(r), bool)
     new[1:] = r["g"][1:] != r["g"][:-1]
     minimizers = np.flatnonzero(new)

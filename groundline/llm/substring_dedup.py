@@ -13,8 +13,9 @@ down the second matrix); where it fails, the match is cut to the longest prefix
 that more suffixes have, and it goes on. That gives at each word the length of
 the longest string from there on that an earlier document has, the matching
 statistic; where it is ``length`` words or more, the string is reported.
-Equal runs of one document, and those of all documents after the first with
-them, have the same statistics, so each is streamed once for either.
+Equal runs of one document have the same statistics, so a run is streamed once.
+In all documents after the first with it, a run is the indexed string itself,
+byte for byte, which is its longest match without a search.
 
 Defined results: a null text has no words; a null id counts as later than any
 other, as does the largest id; rows that repeat an id are one document in this
@@ -191,6 +192,12 @@ def earlier_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(c, d, flag, from, to): the strings of each class that an earlier document has, for its first document and (flag) for later ones."""
 
     def run(g: np.ndarray, c: np.ndarray, d: np.ndarray, owner: np.ndarray, several: np.ndarray, lengths: np.ndarray, data: bytes) -> Iterator[pa.RecordBatch]:
+        def batches(which: np.ndarray, flag: bool, begins: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(which), 100_000):
+                k = slice(at, at + 100_000)
+                columns = (c[which[k]], d[which[k]], np.full(len(which[k]), flag), begins[k], ends[k])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "d", "flag", "from", "to"])
+
         lengths = lengths // 8
         ids, owner = np.unique(owner, return_inverse=True)
         index = FMIndex(np.frombuffer(data, dtype=np.uint64), lengths, owner)
@@ -198,19 +205,18 @@ def earlier_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         least = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(g))))
         first, later = np.flatnonzero(owner > least), np.flatnonzero(several)
-        for which, under, flag in ((first, owner[first], False), (later, np.full(len(later), len(ids)), True)):
-            for at in range(0, len(which), 1 << 16):
-                some = which[at : at + (1 << 16)]
-                found, begin = index.statistics(some, under[at : at + (1 << 16)])
-                place = np.flatnonzero(found >= length)
-                # a match that begins one symbol later and ends at the same place says nothing new
-                string = np.searchsorted(begin, place, side="right") - 1
-                new = np.ones(len(place), bool)
-                new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1) | (found[place[1:]] != found[place[:-1]] - 1)
-                place, string = place[new], string[new]
-                begins = place - begin[string]
-                columns = (c[some[string]], d[some[string]], np.full(len(place), flag), begins, begins + found[place])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "d", "flag", "from", "to"])
+        for at in range(0, len(first), 1 << 16):
+            some = first[at : at + (1 << 16)]
+            found, begin = index.statistics(some, owner[some])
+            place = np.flatnonzero(found >= length)
+            # a match that begins one symbol later and ends at the same place says nothing new
+            string = np.searchsorted(begin, place, side="right") - 1
+            new = np.ones(len(place), bool)
+            new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1) | (found[place[1:]] != found[place[:-1]] - 1)
+            place, string = place[new], string[new]
+            begins = place - begin[string]
+            yield from batches(some[string], False, begins, begins + found[place])
+        yield from batches(later, True, np.zeros(len(later), np.int64), lengths[later])
 
     return repeats.in_shards(rows, run, SHARED)
 
