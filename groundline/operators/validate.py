@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import date
 from typing import NamedTuple
 
@@ -79,19 +79,24 @@ def is_encoding(x: object) -> bool:
     return isinstance(x, dict) and all(k in ("x", "y", "series", "visual") and isinstance(v, str) for k, v in x.items())
 
 
-_string = lambda x: isinstance(x, str)
-_columns = ("may", "columns", is_list, "a list of column names")
-_rows = ("may", "rows", is_rows, f"columnar rows: {{ column: [values] }}, at most {MAX_ROWS} each")
-_query = (is_text, "the query as text")
+#: What a value can pass for, by name.
+TAGS = {
+    "string": lambda x: isinstance(x, str), "text": is_text, "number": is_number, "bool": lambda x: isinstance(x, bool), "true": lambda x: x is True, "object": lambda x: isinstance(x, dict),
+    "strings": is_list, "list": lambda x: isinstance(x, list), "period": is_period, "rows": is_rows, "encoding": is_encoding, "timestamp": is_timestamp, "how": lambda x: isinstance(x, str) and x in ("captured", "reported"),
+    "kind": lambda x: isinstance(x, str) and x in ("sql", "external"), "value": lambda x: x is None or isinstance(x, str) or is_number(x), "version": lambda x: isinstance(x, str) and re.fullmatch(r"[0-9]+\.[0-9]+", x) is not None,
+}
+_columns = ("may", "columns", "strings", "a list of column names")
+_rows = ("may", "rows", "rows", f"columnar rows: {{ column: [values] }}, at most {MAX_ROWS} each")
+_query = ("text", "the query as text")
 _desc = "what this step computes and how, in words"
 
 #: What each kind of node is held to, in order of report; "C4", "C9" and "S8" stand where those rules come in.
 REQUIREMENTS: dict[str, list] = {
-    "sql": [_columns, _rows, ("may", "how", lambda x: x in ("captured", "reported"), '"captured" or "reported"'), ("may", "mart", is_text, "a mart name"), ("may", "sql", *_query), ("may", "period", is_period, 'an object like { "from": "2026-01-01", "to": "2026-08-31" }')],
-    "external": [_columns, _rows, *(("may", f, _string, "a string") for f in ("type", "ref", "given")), ("want", "type", None, "what kind of thing it is, e.g. csv"), ("want", "ref", None, "how a reader can find it"), ("want", "given", None, "what the model was handed, in words")],
-    "view": ["C4", ("sql", "sql", *_query), _columns, _rows, ("may", "encoding", is_encoding, "an object with any of x, y, series, visual as strings"), ("want", "columns", None, "the output column names")],
-    "figure": ["C4", ("may", "value", lambda x: x is None or is_number(x) or isinstance(x, str), "a number or a string"), ("may", "display", _string, "the text exactly as shown on the page"), ("may", "label", _string, "a string"), ("may", "sql", is_text, "a query returning one cell"), ("may", "expr", is_text, "a SQL expression over figure ids"), "C9", "S8", ("want", "value", None, "the number or name the page shows"), ("want", "display", None, "the text exactly as shown on the page"), ("want", "label", None, "what the number is, in words")],
-    "insight": ["C4", ("need", "text", is_text, "the claim, as text")],
+    "sql": [_columns, _rows, ("may", "how", "how", '"captured" or "reported"'), ("may", "mart", "text", "a mart name"), ("may", "sql", *_query), ("may", "period", "period", 'an object like { "from": "2026-01-01", "to": "2026-08-31" }')],
+    "external": [_columns, _rows, *(("may", f, "string", "a string") for f in ("type", "ref", "given")), ("want", "type", None, "what kind of thing it is, e.g. csv"), ("want", "ref", None, "how a reader can find it"), ("want", "given", None, "what the model was handed, in words")],
+    "view": ["C4", ("sql", "sql", *_query), _columns, _rows, ("may", "encoding", "encoding", "an object with any of x, y, series, visual as strings"), ("want", "columns", None, "the output column names")],
+    "figure": ["C4", ("may", "value", "value", "a number or a string"), ("may", "display", "string", "the text exactly as shown on the page"), ("may", "label", "string", "a string"), ("may", "sql", "text", "a query returning one cell"), ("may", "expr", "text", "a SQL expression over figure ids"), "C9", "S8", ("want", "value", None, "the number or name the page shows"), ("want", "display", None, "the text exactly as shown on the page"), ("want", "label", None, "what the number is, in words")],
+    "insight": ["C4", ("need", "text", "text", "the claim, as text")],
 }
 
 _OWN = {"sql": "kind desc how mart period sql columns rows", "external": "kind type ref given columns rows", "view": "from ungrounded desc sql columns encoding rows", "figure": "from ungrounded desc sql expr value display label", "insight": "from ungrounded text"}
@@ -114,7 +119,7 @@ def kind_of(node: dict) -> str | None:
     """The kind whose table holds, or None for a source of unknown kind."""
     if node.get("step") != "source":
         return node.get("step")
-    return node["kind"] if node.get("kind") in ("sql", "external") else None
+    return node["kind"] if TAGS["kind"](node.get("kind")) else None
 
 
 def known_step(node: object) -> str | None:
@@ -142,7 +147,7 @@ def _header(graph: dict) -> Iterator[Issue]:
     yield from (Issue("S5", None, f, f"unknown top-level field `{f}`") for f in graph if f not in HEADER)
 
 
-def _required(node_id: str, node: dict, step: str, mode: str, field: str, test: Callable | None, what: str) -> Iterator[Issue]:
+def _required(node_id: str, node: dict, step: str, mode: str, field: str, tag: str | None, what: str) -> Iterator[Issue]:
     there = field in node
     if mode == "want":
         if not there or (isinstance(node[field], str) and not is_text(node[field])):
@@ -150,15 +155,15 @@ def _required(node_id: str, node: dict, step: str, mode: str, field: str, test:
     elif not there:
         if mode == "need":
             yield Issue("S4", node_id, field, f"{step} is missing `{field}`")
-    elif not test(node[field]):
+    elif not TAGS[tag](node[field]):
         yield Issue("S4", node_id, field, f"`{field}` must be {what}")
 
 
 def _rule(code: str, node_id: str, node: dict) -> Iterator[Issue]:
     grounded = node.get("ungrounded") is not True
     if code == "C4":
-        yield from _required(node_id, node, node["step"], "may", "ungrounded", lambda x: isinstance(x, bool), "true or false")
-        yield from _required(node_id, node, node["step"], "need", "from", is_list, "a list of node ids")
+        yield from _required(node_id, node, node["step"], "may", "ungrounded", "bool", "true or false")
+        yield from _required(node_id, node, node["step"], "need", "from", "strings", "a list of node ids")
         if node.get("from") == [] and grounded:
             yield Issue("C4", node_id, "from", "`from` is empty; list the parents, or set `ungrounded: true` if there are none")
     elif code == "C9":
@@ -181,9 +186,9 @@ def _node(node_id: str, node: object) -> Iterator[Issue]:
         said = f"unknown step {dump(node['step'], None)}; expected one of {', '.join(STEPS)}" if "step" in node else "missing `step`"
         yield Issue("S3", node_id, "step", said)
         return
-    yield from _required(node_id, node, step, "may", "transform", _string, "a string")
+    yield from _required(node_id, node, step, "may", "transform", "string", "a string")
     if step == "source":
-        yield from _required(node_id, node, step, "need", "kind", lambda x: x in ("sql", "external"), '"sql" or "external"')
+        yield from _required(node_id, node, step, "need", "kind", "kind", '"sql" or "external"')
     kind, grounded = kind_of(node), node.get("ungrounded") is not True
     for item in REQUIREMENTS.get(kind, []):
         if isinstance(item, str):
@@ -192,7 +197,7 @@ def _node(node_id: str, node: object) -> Iterator[Issue]:
             mode = ("need" if grounded else "may") if item[0] == "sql" else item[0]
             yield from _required(node_id, node, step, mode, *item[1:])
     if kind and "desc" in FIELDS[kind]:
-        yield from _required(node_id, node, step, "may", "desc", _string, "a string")
+        yield from _required(node_id, node, step, "may", "desc", "string", "a string")
         if grounded:
             yield from _required(node_id, node, step, "want", "desc", None, _desc)
         desc, limit = node.get("desc"), f"keep it to one line of {MAX_DESC} or fewer"
