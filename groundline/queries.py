@@ -27,24 +27,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """nodes (report_id, id, step, kind, ungrounded, n_parents) and edges (report_id, id, parent)."""
+    """nodes (report_id, id, step, kind, ungrounded) and edges (report_id, id, parent); one scan of the lines each."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), "o_orderstatus")
     lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.concat(F.lit("q"), "l_linenumber").alias("q"), F.concat(F.lit("v"), "l_returnflag").alias("v"), F.concat(F.lit("f"), "l_linestatus").alias("f"), (F.col("l_linenumber") % 5 == 0).alias("external"))
     lines = lines.join(orders.select("report_id"), "report_id", "left_semi")
     pair = lambda df, a, b: df.select("report_id", F.col(a).alias("id"), F.col(b).alias("parent"))
-    edges = pair(lines, "v", "q").union(pair(lines, "f", "v")).union(pair(lines.withColumn("i", F.lit("i1")), "i", "f"))
+    pairs = F.array(*(F.struct(F.col(a).alias("id"), F.col(b).alias("parent")) for a, b in (("v", "q"), ("f", "v"), ("i", "f"))))
+    edges = lines.withColumn("i", F.lit("i1")).select("report_id", F.explode(pairs).alias("e")).select("report_id", "e.id", "e.parent")
     missing = orders.where("report_id % 7 = 0").select("report_id", F.lit("i1").alias("id"), F.lit("x9").alias("parent"))
     edges = edges.union(missing).union(pair(lines.where("report_id % 11 = 0"), "v", "v")).distinct()
     node = lambda df, i, step, kind=None, ungrounded=None: df.select("report_id", (i if isinstance(i, Column) else F.col(i)).alias("id"), F.lit(step).alias("step"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"), (F.lit(False) if ungrounded is None else ungrounded).alias("ungrounded"))
-    nodes = node(lines, "q", "source", F.when(F.col("external"), "external").otherwise("sql")).union(node(lines, "v", "view")).union(node(lines, "f", "figure")).distinct()
-    nodes = nodes.union(node(orders, F.lit("i1"), "insight", None, F.col("o_orderstatus") == "P"))
-    counts = edges.groupBy("report_id", "id").agg(F.count(F.lit(1)).alias("n_parents"))
-    return nodes.join(counts, ["report_id", "id"], "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0))), edges
+    of = lambda i, step, kind=None: F.struct(F.col(i).alias("id"), F.lit(step).alias("step"), (F.lit(None).cast("string") if kind is None else kind).alias("kind"))
+    held = F.array(of("q", "source", F.when(F.col("external"), "external").otherwise("sql")), of("v", "view"), of("f", "figure"))
+    nodes = lines.select("report_id", F.explode(held).alias("n")).select("report_id", "n.*").distinct().withColumn("ungrounded", F.lit(False))
+    return nodes.union(node(orders, F.lit("i1"), "insight", None, F.col("o_orderstatus") == "P")), edges
 
 
 def _traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = corpus(spark, sf_dir)
-    return trace.ground(trace.trace(nodes, trace.closure(edges)))
+    return trace.ground(trace.traced(nodes, edges))
 
 
 def closure_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

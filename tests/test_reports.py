@@ -9,7 +9,7 @@ from groundline.cli import main
 from groundline.functions.jsontext import GraphError
 from groundline.operators import summary as S
 from groundline.operators.rules import cycles
-from groundline.operators.trace import closure, ground, states, trace
+from groundline.operators.trace import closure, ground, states, strictly_below, trace, traced, under
 from groundline.operators.validate import validate
 from groundline.plans.compose import compose, is_empty
 from groundline.plans.execute import run_report
@@ -163,6 +163,19 @@ def test_trace_of_random_graphs(spark):
     table = spark.createDataFrame(rows, "report_id int, id string, step string, kind string, ungrounded boolean, n_parents long")
     got = ground(trace(table, closure(spark.createDataFrame(edges, "report_id int, id string, parent string")))).collect()
     assert {(r.report_id, r.id): r.state for r in got} == {(k, i): s for k, g in graphs.items() for i, s in states({"nodes": g}).items()}
+    all_edges = spark.createDataFrame(edges, "report_id int, id string, parent string")
+    for large in (0, 4, 1000):  # by joins, by both ways, by walks
+        assert sorted(ground(traced(table.drop("n_parents"), all_edges, large)).collect()) == sorted(got)
+        assert sorted(closure(all_edges, large).collect()) == sorted(closure(all_edges).collect())
+
+
+def test_everything_under_a_node():
+    rng = random.Random(14)
+    for _ in range(400):
+        names = [f"n{k}" for k in range(rng.randint(1, 9))]
+        nodes = {n: {"from": rng.sample([*names, "gone"], rng.randint(0, min(3, len(names))))} for n in names}
+        assert under({i: n["from"] for i, n in nodes.items()}) == strictly_below(nodes)
+    assert len(under({f"n{k}": [f"n{k + 1}"] for k in range(3000)})["n0"]) == 3000
 
 
 def test_many_reports(spark, tmp_path):
