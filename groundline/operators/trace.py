@@ -72,7 +72,7 @@ def states(graph: object) -> dict[str, str]:
     return out
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the folder that executors share, so that iteration doesn't grow the plan."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -121,9 +121,9 @@ def under(parents: dict[str, list[str]]) -> dict[str, set[str]]:
 
 def _sized(edges: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges, written, and the reports that have too many for a task, or None."""
-    edges = _written(edges.select("report_id", "id", "parent").distinct(), "edges")
+    edges = written(edges.select("report_id", "id", "parent").distinct(), "edges")
     big = edges.groupBy("report_id").count().where(F.col("count") > large).select("report_id")
-    return edges, None if big.isEmpty() else _written(big, "large-reports")
+    return edges, None if big.isEmpty() else written(big, "large-reports")
 
 
 def _lists(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -163,7 +163,7 @@ def _walked(edges: DataFrame) -> DataFrame:
 
 def doubled(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``closure`` by joins: paths double each round, and only pairs that are new go on."""
-    now = _written(edges.select("report_id", "id", F.col("parent").alias("below")).distinct(), "closure")
+    now = written(edges.select("report_id", "id", F.col("parent").alias("below")).distinct(), "closure")
     new = now
     for _ in range(rounds):
         far = now.select("report_id", F.col("id").alias("below"), F.col("below").alias("further"))
@@ -171,10 +171,10 @@ def doubled(edges: DataFrame, rounds: int = 40) -> DataFrame:
         longer = new.join(far, ["report_id", "below"]).select("report_id", "id", F.col("further").alias("below"))
         ends = new.select("report_id", F.col("id").alias("below"), F.col("below").alias("further"))
         longer = longer.unionByName(near.join(ends, ["report_id", "below"]).select("report_id", "id", F.col("further").alias("below")))
-        new = _written(longer.distinct().join(now, ["report_id", "id", "below"], "left_anti"), "closure-new")
+        new = written(longer.distinct().join(now, ["report_id", "id", "below"], "left_anti"), "closure-new")
         if new.isEmpty():
             return now
-        now = _written(now.unionByName(new), "closure")
+        now = written(now.unionByName(new), "closure")
     raise RuntimeError("the closure did not settle")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import numbers, sqltext
+from . import report_queries
 from .operators import trace
 from .plans.execute import run_report
 
@@ -285,8 +286,8 @@ case when regexp_matches(s, {_DISPLAY_SQL}) then cast(len(regexp_extract(s, {_DI
     "page_prose": (page_prose, None),
 }
 
-_ALL = {**_SCRIPTS, **_CORPUS, **_TEXTS}
+_ALL = {**_SCRIPTS, **_CORPUS, **_TEXTS, **report_queries.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 SQL = {name: (_CORPUS_SQL if name in _CORPUS else "") + sql for name, (_, sql) in _ALL.items() if sql}
 FLAGSHIP = "report_script"
-HEADLINE = ("report_script", "trace_states", "grounding", "built_on", "sql_style", "number_tokens", "document_numbers", "page_prose")
+HEADLINE = ("report_script", "trace_states", "grounding", "built_on", "sql_style", "number_tokens", "document_numbers", "page_prose", "report_nodes", "s4_fields", "c5_chain", "report_trace", "report_scripts")
