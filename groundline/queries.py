@@ -10,11 +10,14 @@ themselves.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .functions import numbers, sqltext
+from .functions import jsontext, numbers, sqltext
 from . import report_queries
 from .operators import trace
 from .plans.execute import run_report
@@ -176,9 +179,10 @@ _V1_SQL = f"with q1 as ({_Q1}), q2 as ({_Q2}), v1 as ({_V1}) "
 
 
 def _report(spark: SparkSession, sf_dir: str, node_id: str | None = None) -> DataFrame:
-    for name in ("lineitem", "orders"):
-        _table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return run_report(spark, REPORT, "report", node_id)
+    text = json.dumps(REPORT)
+    for name in ("lineitem", "orders"):  # read in place, so that no view of the session is replaced
+        text = text.replace(f"from {name} ", f"from parquet.`{sf_dir}/{name}.parquet` ")
+    return run_report(spark, json.loads(text), "report", node_id)
 
 
 def _figures(node_id: str | None):
@@ -211,9 +215,6 @@ _SCRIPTS = {
 
 # --- scanners over texts --------------------------------------------------
 
-_scan = lambda f, kind: F.udf(f, kind, useArrow=True)
-
-
 def display_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice").cast("decimal(18,2)")
     text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "$").otherwise(""), F.when(F.col("o_orderkey") % 2 == 0, F.format_number(price, 2)).otherwise(price.cast("string")), F.when(F.col("o_orderkey") % 5 == 0, " %").when(F.col("o_orderkey") % 7 == 0, " pp").otherwise(""))
@@ -226,63 +227,97 @@ def _query_text() -> Column:
 
 
 def sql_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Star, clock functions and parent v1 of queries made from part names."""
-    star, clock = _scan(sqltext.select_star, T.BooleanType()), _scan(lambda s: ",".join(sqltext.clock_functions(s)), T.StringType())
-    parent = _scan(lambda s: not sqltext.missing_parents(s, ["v1"]), T.BooleanType())
-    rows = _table(spark, sf_dir, "part").select("p_partkey", _query_text().alias("q"))
-    return rows.select("p_partkey", star("q").alias("star"), clock("q").alias("clock"), parent("q").alias("names_parent"))
+    """Star, clock functions and parents of queries made from part names."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", _query_text().alias("q")).withColumn("masked", sqltext.mask_column(F.col("q")))
+    missing = sqltext.missing_column(F.col("masked"), F.array(F.lit("v1"), F.lit("v2")))
+    return rows.select("p_partkey", sqltext.star_column("q").alias("star"), F.array_join(sqltext.clock_column(F.col("masked")), ",").alias("clock"), F.array_join(missing, ",").alias("missing"))
 
 
 def mask_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = _scan(sqltext.mask_sql, T.StringType())
     rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a /* "), "p_name", F.lit(" */ = '"), "p_type", F.lit("' -- "), "p_brand").alias("q"))
-    return rows.select("p_partkey", mask("q").alias("masked"))
+    return rows.select("p_partkey", sqltext.mask_column(F.col("q")).alias("masked"))
 
 
 def expr_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = _scan(lambda e: ",".join(sqltext.expr_refs(e, ["f1", "f2", "f3"])), T.StringType())
     expr = F.concat(F.when(F.col("p_size") % 2 == 0, "f2 / ").otherwise("f2(1) + "), F.lit("(f1 - 'f3') * "), F.when(F.col("p_size") % 3 == 0, "f3").otherwise("f9"))
-    return _table(spark, sf_dir, "part").select("p_partkey", refs(expr).alias("refs"))
+    refs = sqltext.refs_column(expr, F.array(*map(F.lit, ("f1", "f2", "f3"))))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(refs, ",").alias("refs"))
+
+
+def expr_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why expressions made from part names can't be read, and where."""
+    size = F.col("p_size") % 5
+    expr = F.concat(F.lit("(f1 + '"), "p_name", F.when(size == 0, "') * (f2").when(size == 1, "'))").when(size == 2, "").when(size == 3, "') /* c */").otherwise("')"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", sqltext.problem_column(expr).alias("x"))
+    return rows.where("x.message is not null").select("p_partkey", "x.message", "x.position")
 
 
 def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted and exempt number tokens of sentences made from orders."""
-    found = _scan(lambda t: ";".join(f"{at}:{token}:{why or ''}" for at, token, why in numbers.find_numbers(t)), T.StringType())
     text = F.concat(F.lit("On "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" order "), F.col("o_orderkey").cast("string"), F.lit(" rose "), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit("% over a 30-day span since 1998, id a12."))
-    return _table(spark, sf_dir, "orders").select("o_orderkey", found(text).alias("tokens"))
+    one = lambda t: F.concat_ws(":", t["at"].cast("string"), t["token"], F.coalesce(t["exempt"], F.lit("")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(numbers.numbers_in(text), one), ";").alias("tokens"))
 
 
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number tokens of the documents, a row each."""
-    kind = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("exempt", T.StringType())]))
-    found = _scan(lambda t: [(a, b, c) for a, b, c in numbers.find_numbers(t)], kind)
-    rows = _table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.explode(found("text")).alias("t"))
+    rows = _table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", F.explode(numbers.numbers_in("text")).alias("t"))
     return rows.select("doc_id", "t.*")
 
 
-def page_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible texts of the pages, counted and measured."""
-    from .sources.page import read_page
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys given twice in JSON made from the events, with the places of both."""
 
-    kind = T.StructType([T.StructField("bindings", T.LongType()), T.StructField("runs", T.LongType()), T.StructField("chars", T.LongType())])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *found) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for found in jsontext.repeated_keys(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["event_id", "path", "first", "second"])
 
-    def read(html: str) -> tuple[int, int, int]:
-        bindings, prose = read_page(html or "")
-        return len(bindings), len(prose), sum(len(p.text) for p in prose)
+    key = F.when(F.col("event_id") % 3 == 0, "k").otherwise("other")
+    text = F.concat(F.lit('{"a": ['), "props", F.lit(', {"b": 1, "'), key, F.lit('": 2, "k": 3}], "a": '), F.col("event_id").cast("string"), F.lit("}"))
+    return _table(spark, sf_dir, "events").select("event_id", text.alias("t")).mapInArrow(run, "event_id long, path string, first int, second int")
 
-    return _table(spark, sf_dir, "pages").select("page_id", _scan(read, kind)("html").alias("p")).select("page_id", "p.*")
 
+def page_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible texts of the pages, counted and measured."""
+    from .sources.page import read_page
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_page(html or "") for html in batch.column(1).to_pylist()]
+            counts = ([len(b) for b, _ in read], [len(p) for _, p in read], [sum(len(x.text) for x in p) for _, p in read])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts)], ["page_id", "bindings", "runs", "chars"])
+
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "html").mapInArrow(run, "page_id long, bindings long, runs long, chars long")
+
+
+#: The tokens by patterns without look-behind: each place that can begin one, with the character before and what follows.
+_NUMBERS_SQL = r"""
+with t as (select doc_id, text from documents where regexp_matches(text, '[0-9]')),
+p as (select doc_id, text, unnest(range(1, len(text) + 1)) as pos from t),
+s as (select doc_id, pos, case when pos = 1 then '' else substr(text, pos - 1, 1) end as prev, substr(text, pos, 80) as rest from p where regexp_matches(substr(text, pos, 1), '[0-9+\-−$€£¥#]')),
+n as (select doc_id, pos, regexp_extract(rest, '(?i)^([+\-−]?[$€£¥]?#?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[ 	
+
+]?(?:%|pp|bps)|bn|st|nd|rd|th|[xkmb])?)(?:[^0-9A-Za-z_%]|$)', 1) as token, rest from s
+      where not regexp_matches(prev, '[0-9A-Za-z_.,]')),
+c as (select *, max(pos + len(token)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding) as reach from n where token <> ''),
+d as (select doc_id, pos, regexp_extract(rest, '^(\d{4}-\d{2}-\d{2})(?:[^0-9A-Za-z_-]|$)', 1) as token from s where not regexp_matches(prev, '[0-9A-Za-z_-]')),
+e as (select * from d where token <> ''),
+k as (select * from c where (reach is null or pos >= reach) and not exists (select 1 from e where e.doc_id = c.doc_id and c.pos >= e.pos and c.pos < e.pos + len(e.token)))
+select doc_id, cast(pos - 1 as integer) as "at", token, case when regexp_matches(token, '^(19|20)\d{2}$') then 'year' when regexp_matches(token, '^\d+$') and regexp_matches(substr(rest, len(token) + 1), '(?i)^[-‑](second|minute|hour|day|week|month|quarter|year)s?([^0-9A-Za-z_]|$)') then 'qualifier' end as exempt from k
+union all select doc_id, cast(pos - 1 as integer), token, 'date' from e"""
 _DISPLAY_SQL = "'^([+\\-−])?[$€£¥]?#?(\\d{1,3}(?:,\\d{3})+|\\d+)(?:\\.(\\d+))?( ?%)?$'"
 _TEXTS = {
     "display_number": (display_number, f"""with t as (select o_orderkey, (case when o_orderkey % 3 = 0 then '$' else '' end) || (case when o_orderkey % 2 = 0 then format('{{:,.2f}}', cast(o_totalprice as decimal(18,2))::double) else cast(cast(o_totalprice as decimal(18,2)) as varchar) end) || (case when o_orderkey % 5 = 0 then ' %' when o_orderkey % 7 = 0 then ' pp' else '' end) as s from orders)
 select o_orderkey, case when regexp_matches(s, {_DISPLAY_SQL}) then cast(replace(regexp_extract(s, {_DISPLAY_SQL}, 2), ',', '') || '.' || regexp_extract(s, {_DISPLAY_SQL}, 3) as double) end as number,
 case when regexp_matches(s, {_DISPLAY_SQL}) then cast(len(regexp_extract(s, {_DISPLAY_SQL}, 3)) as integer) else -1 end as decimals, case when regexp_matches(s, {_DISPLAY_SQL}) then regexp_extract(s, {_DISPLAY_SQL}, 4) <> '' end as percent from t"""),
-    "sql_style": (sql_style, "select p_partkey, p_partkey % 4 in (0, 3) as star, case when p_partkey % 3 = 0 then 'CURRENT_DATE' else '' end as clock, true as names_parent from part"),
+    "sql_style": (sql_style, "select p_partkey, p_partkey % 4 in (0, 3) as star, case when p_partkey % 3 = 0 then 'CURRENT_DATE' else '' end as clock, 'v2' as missing from part"),
     "mask_sql": (mask_sql, "select p_partkey, 'a ' || repeat(' ', len(p_name) + 6) || ' = ''' || repeat(' ', len(p_type)) || ''' ' || repeat(' ', len(p_brand) + 3) as masked from part"),
     "expr_refs": (expr_refs, "select p_partkey, (case when p_size % 2 = 0 then 'f2,f1' else 'f1' end) || (case when p_size % 3 = 0 then ',f3' else '' end) as refs from part"),
     "number_tokens": (number_tokens, "select o_orderkey, '3:' || strftime(o_orderdate, '%Y-%m-%d') || ':date;20:' || o_orderkey || ':' || (case when regexp_matches(cast(o_orderkey as varchar), '^(19|20)[0-9]{2}$') then 'year' else '' end) || ';' || (26 + len(cast(o_orderkey as varchar))) || ':' || (o_orderkey % 90 + 10) || '%:;' || (37 + len(cast(o_orderkey as varchar))) || ':30:qualifier;' || (55 + len(cast(o_orderkey as varchar))) || ':1998:year' as tokens from orders"),
-    "document_numbers": (document_numbers, None),
+    "expr_problem": (expr_problem, "select p_partkey, case p_size % 5 when 0 then '`(` is never closed' when 1 then '`)` has no matching `(`' when 2 then '`''` is never closed' else '`/*` starts a comment; put notes in the node''s `label`' end as message, cast(case p_size % 5 when 0 then len(p_name) + 11 when 1 then len(p_name) + 8 when 2 then 6 else len(p_name) + 10 end as integer) as position from part where p_size % 5 <> 4"),
+    "duplicate_keys": (duplicate_keys, "select event_id, 'a' as path, 1 as \"first\", len(props) + case when event_id % 3 = 0 then 36 else 40 end as \"second\" from events union all select event_id, 'a.1.k', len(props) + 18, len(props) + 26 from events where event_id % 3 = 0"),
+    "document_numbers": (document_numbers, _NUMBERS_SQL),
     "page_prose": (page_prose, None),
 }
 

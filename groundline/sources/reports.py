@@ -73,8 +73,19 @@ def embed(html: str, graph: object) -> str:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(report_id, report, html, sidecar) of the HTML files under ``path``, each with its sidecar graph if there is one."""
-    read = lambda glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    html = read("*.html").withColumn("key", F.regexp_replace("path", r"/([^/]*)\.html$", "/.lineage/$1.json"))
-    sides = read("*.json").select(F.col("path").alias("key"), F.col("text").alias("sidecar"))
+    """(report_id, report, html, sidecar) of the HTML files under ``path``, each with its sidecar graph if there is one.
+
+    Spark's listings pass over folders whose names begin with a dot, so those
+    beside the pages are named one by one.
+    """
+    load = lambda paths, glob: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("text"))
+    html = load(path, "*.html").withColumn("key", F.regexp_replace("path", r"/([^/]*)\.html$", "/.lineage/$1.json"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = []
+    for row in html.select(F.regexp_replace("key", "/[^/]*$", "").alias("folder")).distinct().toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(row["folder"])
+        if any(f.getPath().getName().endswith(".json") for f in (place.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(place, "*.json")) or [])):
+            folders.append(f"{row['folder']}/*.json")
+    sides = load(folders, "*.json") if folders else spark.createDataFrame([], "path string, text string")
+    sides = sides.select(F.col("path").alias("key"), F.col("text").alias("sidecar"))
     return html.join(sides, "key", "left").select(F.col("path").alias("report_id"), F.element_at(F.split("path", "/"), -1).alias("report"), F.col("text").alias("html"), "sidecar")

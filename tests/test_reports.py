@@ -15,7 +15,7 @@ from groundline.plans.compose import compose, is_empty
 from groundline.plans.execute import run_report
 from groundline.queries import REPORT
 from groundline.sources.page import read_page
-from groundline.sources.reports import embed, read_graph
+from groundline.sources.reports import embed, read_graph, read_reports
 
 GRAPH = {
     "lineage": "1.0",
@@ -203,3 +203,23 @@ def test_script_runs(spark):
     got = {r.figure: r.value for r in run_report(spark, REPORT).collect()}
     assert float(got["f1"]) == 5.0 and got["f4"] == "1" and got["f6"] == "1-URGENT" and got["f7"] == "0.25" and got["f8"] is None
     assert abs(float(got["f3"]) - 2 / 3) < 1e-9
+
+
+def test_reports_with_sidecars_are_read(spark, tmp_path):
+    (tmp_path / "a" / ".lineage").mkdir(parents=True)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "one.html").write_text(PAGE)
+    (tmp_path / "a" / ".lineage" / "one.json").write_text(json.dumps(GRAPH))
+    (tmp_path / "b" / "two.html").write_text(embed(PAGE, GRAPH))
+    got = {r.report_id.rsplit("/", 1)[1]: r for r in check_reports(read_reports(spark, str(tmp_path))).collect()}
+    assert got["one.html"].error is None and got["one.html"].n_issues == got["two.html"].n_issues == 1
+    assert read_reports(spark, str(tmp_path / "b")).where("sidecar is not null").count() == 0
+
+
+def test_long_chains_compose():
+    nodes = copy.deepcopy(GRAPH["nodes"])
+    nodes |= {f"f{k}": {"step": "figure", "from": [f"f{k - 1}"], "expr": f"f{k - 1} + 1", "label": "l"} for k in range(4, 3000)}
+    nodes["v2"] = {"step": "view", "from": ["v1"], "sql": "select a from v1"}
+    nodes |= {f"i{k}": {"step": "insight", "from": [f"i{k + 1}" if k < 2999 else "v2"], "text": "t"} for k in range(2, 3000)}
+    assert compose({"nodes": nodes}, "r", "i2").endswith("select * from v2")
+    assert "((select value from f1) / (select value from f2)) + 1) + 1" in compose({"nodes": nodes}, "r", "f6")
