@@ -315,7 +315,7 @@ case when regexp_matches(s, {_DISPLAY_SQL}) then cast(len(regexp_extract(s, {_DI
     "mask_sql": (mask_sql, "select p_partkey, 'a ' || repeat(' ', len(p_name) + 6) || ' = ''' || repeat(' ', len(p_type)) || ''' ' || repeat(' ', len(p_brand) + 3) as masked from part"),
     "expr_refs": (expr_refs, "select p_partkey, (case when p_size % 2 = 0 then 'f2,f1' else 'f1' end) || (case when p_size % 3 = 0 then ',f3' else '' end) as refs from part"),
     "number_tokens": (number_tokens, "select o_orderkey, '3:' || strftime(o_orderdate, '%Y-%m-%d') || ':date;20:' || o_orderkey || ':' || (case when regexp_matches(cast(o_orderkey as varchar), '^(19|20)[0-9]{2}$') then 'year' else '' end) || ';' || (26 + len(cast(o_orderkey as varchar))) || ':' || (o_orderkey % 90 + 10) || '%:;' || (37 + len(cast(o_orderkey as varchar))) || ':30:qualifier;' || (55 + len(cast(o_orderkey as varchar))) || ':1998:year' as tokens from orders"),
-    "expr_problem": (expr_problem, "select p_partkey, case p_size % 5 when 0 then '`(` is never closed' when 1 then '`)` has no matching `(`' when 2 then '`''` is never closed' else '`/*` starts a comment; put notes in the node''s `label`' end as message, cast(case p_size % 5 when 0 then len(p_name) + 11 when 1 then len(p_name) + 8 when 2 then 6 else len(p_name) + 10 end as integer) as position from part where p_size % 5 <> 4"),
+    "expr_problem": (expr_problem, "select p_partkey, case p_size % 5 when 0 then '`(` is never closed' when 1 then '`)` has no matching `(`' when 2 then '`''` is never closed' else '`/*` starts a comment; put notes in the node''s `label`' end as message, cast(case p_size % 5 when 0 then len(p_name) + 12 when 1 then len(p_name) + 9 when 2 then 6 else len(p_name) + 10 end as integer) as position from part where p_size % 5 <> 4"),
     "duplicate_keys": (duplicate_keys, "select event_id, 'a' as path, 1 as \"first\", len(props) + case when event_id % 3 = 0 then 36 else 40 end as \"second\" from events union all select event_id, 'a.1.k', len(props) + 18, len(props) + 26 from events where event_id % 3 = 0"),
     "document_numbers": (document_numbers, _NUMBERS_SQL),
     "page_prose": (page_prose, None),
