@@ -47,11 +47,24 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows with whole texts that go to a Python worker at a time.
+TEXT_ROWS = 1000
+
+
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    ``arrow_rows`` bounds the rows of a batch that goes to Python while it is written.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, name), spark.conf.get(key)
+    if arrow_rows:
+        spark.conf.set(key, min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

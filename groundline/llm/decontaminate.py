@@ -90,7 +90,7 @@ def coded(docs: DataFrame, terms: dict[bytes, int]) -> DataFrame:
 
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return common.written(rows.transform(common.in_arrow, run, "doc_id long, h long, ids binary"), "latent-coded")
+    return common.written(rows.transform(common.in_arrow, run, "doc_id long, h long, ids binary"), "latent-coded", common.TEXT_ROWS)
 
 
 def _blocks(all_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -426,7 +426,7 @@ def near_groups(docs: DataFrame, least: float, words: int, distance: int, segmen
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text"))
     schema = ", ".join(["doc_id long, h long, digest binary", *(f"{name} long" for name in names)])
-    prints = common.written(rows.transform(common.in_arrow, sketch, schema), "near-prints")
+    prints = common.written(rows.transform(common.in_arrow, sketch, schema), "near-prints", common.TEXT_ROWS)
     labels = _labels(prints, distance, segments, count).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "copies"))
     same = prints.groupBy("fp", "digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
@@ -436,7 +436,7 @@ def near_groups(docs: DataFrame, least: float, words: int, distance: int, segmen
     wanted = classes.join(several, "root").select("root", "digest", F.col("one.doc_id").alias("one_id"), F.col("one.h").alias("one_h"))
     texts = rows.join(wanted, rows["h"].eqNullSafe(wanted["one_h"]) & rows["doc_id"].eqNullSafe(wanted["one_id"])).select("root", "digest", "text", "doc_id")
     dealt = texts.repartition("root").sortWithinPartitions("root", F.col("doc_id").asc_nulls_last(), "digest").select("root", "digest", "text")
-    parts = common.written(dealt.transform(common.in_arrow, split, "root long, digest binary, part int"), "near-parts")
+    parts = common.written(dealt.transform(common.in_arrow, split, "root long, digest binary, part int"), "near-parts", common.TEXT_ROWS)
     found = classes.join(parts, ["root", "digest"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
     return found.groupBy("root", "part").agg(F.min("one").alias("one")).select("one.doc_id", "one.h", "one.copies")
 

@@ -180,10 +180,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
             for at in range(0, len(texts), BATCH_DOCS):
                 for data in encoder(vocabulary, special_as_text).encode(texts[at : at + BATCH_DOCS].to_pylist()):
                     yield data + end
-            common.release()
 
         ids, frames, places, counts = [], [], [], []
-        for batch in batches:
+        for k, batch in enumerate(batches):
+            if k % 8 == 7:
+                common.release()
             writer = writer or Writer(name)
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 ids.append(doc_id)
@@ -208,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(ids)], "n_tokens": [n_tokens], "n_frames": pa.array([len(writer.frames)], pa.int32()), "n_bytes": [writer.size]})
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(rows.transform(common.in_arrow, shards, MANIFEST), "token-manifest")
+    return common.written(rows.transform(common.in_arrow, shards, MANIFEST), "token-manifest", common.TEXT_ROWS)
 
 
 def _index(reader: Reader) -> pa.Table:
