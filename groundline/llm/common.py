@@ -114,10 +114,24 @@ def release() -> None:
         trim(0)
 
 
-def in_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose tasks release what they freed: workers live on, idle, beside the steps that follow."""
+#: What a worker holds from task to task, by its step's name.
+_kept: dict[str, object] = {}
+
+
+def kept(step: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, held until a task of another step runs in this worker."""
+    if step not in _kept:
+        _kept[step] = make()
+    return _kept[step]
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, step: str = "") -> DataFrame:
+    """``mapInArrow`` whose tasks release what they freed, and what other steps kept: workers live on beside the steps that follow."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [x for x in _kept if x != step]:
+            del _kept[other]
+            release()
         try:
             yield from run(batches)
         finally:

@@ -33,7 +33,6 @@ from functools import reduce
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -185,14 +184,14 @@ def _added(rows: DataFrame, terms: int, width: int, basis: np.ndarray, idf: np.n
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array(list(range(0, terms + 1, _BUCKET)), pa.int64()), pa.array([salt] * len(range(0, terms + 1, _BUCKET)), pa.int64()), pa.array([total[k : k + _BUCKET].tobytes() for k in range(0, terms + 1, _BUCKET)], pa.binary())], ["bucket", "salt", "block"])
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b) for b in part["block"])
-        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "salt": [part["salt"].iloc[0]], "block": [total.tobytes()]})
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py()) for b in part.column("block"))
+        return pa.table({"bucket": part.column("bucket")[:1], "salt": part.column("salt")[:1], "block": pa.array([total.tobytes()], pa.binary())})
 
     schema = "bucket long, salt long, block binary"
-    sums = rows.select("ids").transform(common.in_arrow, run, schema).groupBy("bucket", "salt").applyInPandas(add, schema)
+    sums = rows.select("ids").transform(common.in_arrow, run, schema).groupBy("bucket", "salt").applyInArrow(add, schema)
     out = np.zeros((terms + 1, width))
-    for r in sums.groupBy("bucket").applyInPandas(add, schema).collect():
+    for r in sums.groupBy("bucket").applyInArrow(add, schema).collect():
         part = np.frombuffer(r["block"]).reshape(-1, width)
         out[r["bucket"] : r["bucket"] + len(part)] = part
     return out

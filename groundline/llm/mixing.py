@@ -24,7 +24,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +95,20 @@ def schedule(spark: SparkSession, plan: list[tuple], block_words: int = BLOCK_WO
         x = i * GOLDEN
         return i, np.minimum(np.searchsorted(bounds, x - np.floor(x), side="right"), len(bounds) - 1)
 
-    def counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in batch["id"]:
+            for chunk in batch.column("id").to_pylist():
                 k, n = np.unique(points(chunk)[1], return_counts=True)
-                yield pd.DataFrame({"chunk": chunk, "k": k, "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array(k), pa.array(n)], ["chunk", "k", "n"])
 
     ranged = spark.range(0, chunks, 1, min(chunks, 1000))
-    per = ranged.mapInPandas(counts, "chunk long, k long, n long")
+    per = ranged.transform(common.in_arrow, counts, "chunk long, k long, n long")
     before = per.select("chunk", "k", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     before = before.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("k", "before"))).alias("before"))
 
-    def ranked(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, starts in zip(batch["chunk"], batch["before"]):
+            for chunk, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 i, k = points(chunk)
                 starts = dict(starts)
                 block = np.empty(len(i), dtype=np.int64)
@@ -116,9 +116,9 @@ def schedule(spark: SparkSession, plan: list[tuple], block_words: int = BLOCK_WO
                     mine = k == s
                     block[mine] = start + np.arange(mine.sum())
                 used = block < needed[k]
-                yield pd.DataFrame({"slot": i[used], "k": k[used], "block": block[used]})
+                yield pa.RecordBatch.from_arrays([pa.array(i[used]), pa.array(k[used].astype(np.int64)), pa.array(block[used])], ["slot", "k", "block"])
 
-    points_taken = before.mapInPandas(ranked, "slot long, k long, block long")
+    points_taken = before.transform(common.in_arrow, ranked, "slot long, k long, block long")
     # sources that the points leave short: their last blocks, after all others
     got = per.groupBy("k").agg(F.sum("n").alias("n"))
     want = spark.createDataFrame([(k, int(n)) for k, n in enumerate(needed)], "k long, need long")

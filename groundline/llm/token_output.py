@@ -24,7 +24,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ from . import common
 from .seekable import Reader, Writer
 
 END_ID = 0
+STEP = "token output"
 FRAME_BYTES = 1 << 18
 #: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 48
@@ -159,10 +159,9 @@ class Encoder:
 _awkward = re.compile(r" (?:\s|$)").search
 
 
-@lru_cache(1)
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """One encoder for each worker, which keeps its table from task to task."""
-    return Encoder(path, special_as_text)
+    """One encoder for each worker, which keeps its table from task to task until another step runs there."""
+    return common.kept(f"{STEP} {path} {special_as_text}", lambda: Encoder(path, special_as_text))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False) -> DataFrame:
@@ -209,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(ids)], "n_tokens": [n_tokens], "n_frames": pa.array([len(writer.frames)], pa.int32()), "n_bytes": [writer.size]})
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(rows.transform(common.in_arrow, shards, MANIFEST), "token-manifest", common.TEXT_ROWS)
+    return common.written(rows.transform(common.in_arrow, shards, MANIFEST, f"{STEP} {vocabulary} {special_as_text}"), "token-manifest", common.TEXT_ROWS)
 
 
 def _index(reader: Reader) -> pa.Table:
