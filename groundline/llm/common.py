@@ -125,13 +125,18 @@ def kept(step: str, make: Callable[[], object]) -> object:
     return _kept[step]
 
 
+def forget(step: str) -> None:
+    """Gives up what steps other than ``step`` kept."""
+    for other in [x for x in _kept if x != step]:
+        del _kept[other]
+        release()
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, step: str = "") -> DataFrame:
     """``mapInArrow`` whose tasks release what they freed, and what other steps kept: workers live on beside the steps that follow."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other in [x for x in _kept if x != step]:
-            del _kept[other]
-            release()
+        forget(step)
         try:
             yield from run(batches)
         finally:

@@ -567,3 +567,18 @@ def test_toxic_terms_are_mined(spark):
     got = {x.doc_id: x.score for x in toxicity.scored(docs, terms, weights).collect()}
     held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 == 1]
     assert np.mean([(got[k] >= 0.7) == (k % 6 == 0) for k in held]) > 0.98
+
+
+def test_what_a_step_keeps_goes_with_it(spark):
+    def seen(step):
+        def run(batches):
+            for batch in batches:
+                made = []
+                common.kept(step, lambda: made.append(1) or 7)
+                yield common.pa.RecordBatch.from_pydict({"n": [len(made)], "held": [len(common._kept)]})
+
+        return run
+
+    one = spark.range(1).repartition(1)
+    got = [tuple(one.transform(common.in_arrow, seen(step), "n long, held long", step).first()) for step in ("a", "a", "b", "a")]
+    assert {held for _, held in got} == {1} and got[2:] == [(1, 1), (1, 1)]
