@@ -41,8 +41,8 @@ FRAME_BYTES = 1 << 18
 #: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
 CACHE_WORDS, CACHE_LENGTH = 600_000, 48
 
-#: Documents whose new words are encoded together.
-BATCH_DOCS = 1000
+#: Documents whose new words are encoded together: fewer take less memory, more less time.
+BATCH_DOCS, MANY_DOCS = 1000, 5000
 #: Documents whose ids are laid out together.
 LAYOUT_DOCS = 250
 
@@ -164,7 +164,7 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
     return common.kept(f"{STEP} {path} {special_as_text}", lambda: Encoder(path, special_as_text))
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id, text) under ``path``; returns their manifest, itself written."""
     vocabulary = vocabulary or default_vocabulary()
 
@@ -176,8 +176,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         size = n_tokens = 0
 
         def encoded(texts: pa.Array) -> Iterator[bytes]:
-            for at in range(0, len(texts), BATCH_DOCS):
-                for data in encoder(vocabulary, special_as_text).encode(texts[at : at + BATCH_DOCS].to_pylist()):
+            for at in range(0, len(texts), batch_docs):
+                for data in encoder(vocabulary, special_as_text).encode(texts[at : at + batch_docs].to_pylist()):
                     yield data + end
 
         ids, frames, places, counts = [], [], [], []
@@ -208,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(ids)], "n_tokens": [n_tokens], "n_frames": pa.array([len(writer.frames)], pa.int32()), "n_bytes": [writer.size]})
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(rows.transform(common.in_arrow, shards, MANIFEST, f"{STEP} {vocabulary} {special_as_text}"), "token-manifest", common.TEXT_ROWS)
+    return common.written(rows.transform(common.in_arrow, shards, MANIFEST, f"{STEP} {vocabulary} {special_as_text}"), "token-manifest", batch_docs)
 
 
 def _index(reader: Reader) -> pa.Table:
@@ -260,5 +260,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    manifest = write_tokens(docs, common.scratch(spark, "tokens"))
+    manifest = write_tokens(docs, common.scratch(spark, "tokens"), batch_docs=MANY_DOCS)
     return read_tokens(manifest)
