@@ -38,11 +38,11 @@ from .seekable import Reader, Writer
 END_ID = 0
 STEP = "token output"
 FRAME_BYTES = 1 << 18
-#: Entries of a worker's table of encoded words, and the longest word kept in it. Neither changes a result.
-CACHE_WORDS, CACHE_LENGTH = 600_000, 48
-
-#: Documents whose new words are encoded together: fewer take less memory, more less time.
-BATCH_DOCS, MANY_DOCS = 1000, 5000
+#: The longest word kept in a worker's table of encoded words.
+CACHE_LENGTH = 48
+#: Entries of that table, and documents whose new words are encoded together: fewer take less memory, more less time. Neither changes a result.
+CACHE_WORDS, MANY_WORDS = 60_000, 600_000
+BATCH_DOCS, MANY_DOCS = 250, 5000
 #: Documents whose ids are laid out together.
 LAYOUT_DOCS = 250
 
@@ -67,7 +67,7 @@ class Encoder:
     words of that text apart. The ids equal those of the whole text.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,6 +78,7 @@ class Encoder:
         self._added = re.compile("|".join(added)).search if added else lambda text: None
         size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._begins = np.array([(self._tokenizer.id_to_token(k) or "").startswith("\u0120") for k in range(size)])
+        self._most = cache_words
         self._kept: dict[str, bytes] = {}
         self._firsts: dict[str, bytes] = {}
 
@@ -98,7 +99,7 @@ class Encoder:
         ids = self._firsts.get(text)
         if ids is None:
             ids = self._ids(text).tobytes()
-            if len(text) <= CACHE_LENGTH and len(self._firsts) < CACHE_WORDS // 10:
+            if len(text) <= CACHE_LENGTH and len(self._firsts) < self._most // 10:
                 self._firsts[text] = ids
         return ids
 
@@ -107,7 +108,7 @@ class Encoder:
         out = list(map(self._kept.get, words))
         new = [w for w, ids in zip(words, out) if ids is None]
         if new:
-            if len(self._kept) + len(new) > CACHE_WORDS:
+            if len(self._kept) + len(new) > self._most:
                 self._kept.clear()
             self._learn(new)
             out = [self._kept[w] if ids is None else ids for w, ids in zip(words, out)]
@@ -159,12 +160,12 @@ class Encoder:
 _awkward = re.compile(r" (?:\s|$)").search
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
+def encoder(path: str, special_as_text: bool = False, cache_words: int = CACHE_WORDS) -> Encoder:
     """One encoder for each worker, which keeps its table from task to task until another step runs there."""
-    return common.kept(f"{STEP} {path} {special_as_text}", lambda: Encoder(path, special_as_text))
+    return common.kept(f"{STEP} {path} {special_as_text} {cache_words}", lambda: Encoder(path, special_as_text, cache_words))
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False, batch_docs: int = BATCH_DOCS) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, frame_bytes: int = FRAME_BYTES, special_as_text: bool = False, batch_docs: int = BATCH_DOCS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Writes the token files of ``docs`` (doc_id, text) under ``path``; returns their manifest, itself written."""
     vocabulary = vocabulary or default_vocabulary()
 
@@ -177,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
 
         def encoded(texts: pa.Array) -> Iterator[bytes]:
             for at in range(0, len(texts), batch_docs):
-                for data in encoder(vocabulary, special_as_text).encode(texts[at : at + batch_docs].to_pylist()):
+                for data in encoder(vocabulary, special_as_text, cache_words).encode(texts[at : at + batch_docs].to_pylist()):
                     yield data + end
 
         ids, frames, places, counts = [], [], [], []
@@ -208,7 +209,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(ids)], "n_tokens": [n_tokens], "n_frames": pa.array([len(writer.frames)], pa.int32()), "n_bytes": [writer.size]})
 
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.written(rows.transform(common.in_arrow, shards, MANIFEST, f"{STEP} {vocabulary} {special_as_text}"), "token-manifest", batch_docs)
+    return common.written(rows.transform(common.in_arrow, shards, MANIFEST, f"{STEP} {vocabulary} {special_as_text} {cache_words}"), "token-manifest", batch_docs)
 
 
 def _index(reader: Reader) -> pa.Table:
@@ -260,5 +261,5 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    manifest = write_tokens(docs, common.scratch(spark, "tokens"), batch_docs=MANY_DOCS)
+    manifest = write_tokens(docs, common.scratch(spark, "tokens"), batch_docs=MANY_DOCS, cache_words=MANY_WORDS)
     return read_tokens(manifest)
