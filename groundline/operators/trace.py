@@ -26,10 +26,10 @@ from .validate import known_step
 LARGE = 50_000
 
 
-def _bad(node: object, strict: set[str], node_id: str) -> bool:
+def _bad(node: object, looped: set[str], node_id: str) -> bool:
     """A node that keeps what rests on it from being full."""
     step = known_step(node)
-    if step is None or node.get("ungrounded") is True or node_id in strict:
+    if step is None or node.get("ungrounded") is True or node_id in looped:
         return True
     if step == "source":
         return node.get("kind") != "sql"
@@ -38,7 +38,7 @@ def _bad(node: object, strict: set[str], node_id: str) -> bool:
 
 def strictly_below(nodes: dict) -> dict[str, set[str]]:
     """Everything under each node; an id is under itself only in a cycle. Parents that are no nodes are included."""
-    parents = {i: [p for p in n["from"] if isinstance(p, str)] if isinstance(n, dict) and isinstance(n.get("from"), list) else [] for i, n in nodes.items()}
+    parents = parents_of(nodes)
     out = {}
     for i in nodes:
         seen: set[str] = set()
@@ -52,6 +52,70 @@ def strictly_below(nodes: dict) -> dict[str, set[str]]:
     return out
 
 
+def parents_of(nodes: dict) -> dict[str, list[str]]:
+    return {i: [p for p in n["from"] if isinstance(p, str)] if isinstance(n, dict) and isinstance(n.get("from"), list) else [] for i, n in nodes.items()}
+
+
+def resting(parents: dict[str, list[str]], on: set[str]) -> set[str]:
+    """Everything that has one of ``on`` strictly below; each edge is walked once."""
+    users: dict[str, list[str]] = {}
+    for i, below in parents.items():
+        for p in below:
+            users.setdefault(p, []).append(i)
+    out: set[str] = set()
+    todo = [*on]
+    while todo:
+        for i in users.get(todo.pop(), ()):
+            if i not in out:
+                out.add(i)
+                todo.append(i)
+    return out
+
+
+def looped(parents: dict[str, list[str]]) -> set[str]:
+    """Ids that are under themselves: those of strongly connected components of two or more, and their own parents."""
+    out = {i for i, below in parents.items() if i in below}
+    ended: dict[str, None] = {}  # in order of a depth-first walk's ends
+    seen: set[str] = set()
+    for start in parents:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo = [(start, iter(parents[start]))]
+        while todo:
+            i, rest = todo[-1]
+            for p in rest:
+                if p in parents and p not in seen:
+                    seen.add(p)
+                    todo.append((p, iter(parents[p])))
+                    break
+            else:
+                ended[i] = None
+                todo.pop()
+    place = {i: k for k, i in enumerate(ended)}
+    if all(place[p] < place[i] for i, below in parents.items() for p in below if p in place and p != i):
+        return out  # no edge goes back: no cycle
+    users: dict[str, list[str]] = {}
+    for i, below in parents.items():
+        for p in below:
+            users.setdefault(p, []).append(i)
+    taken: set[str] = set()
+    for start in reversed(ended):
+        if start in taken:
+            continue
+        taken.add(start)
+        group, walk = [start], [start]
+        while walk:
+            for i in users.get(walk.pop(), ()):
+                if i not in taken:
+                    taken.add(i)
+                    group.append(i)
+                    walk.append(i)
+        if len(group) > 1:
+            out.update(group)
+    return out
+
+
 def states(graph: object) -> dict[str, str]:
     """full, partial or ungrounded for each node of a known step, in graph order."""
     nodes = graph.get("nodes") if isinstance(graph, dict) else None
@@ -59,8 +123,10 @@ def states(graph: object) -> dict[str, str]:
         return {}
     # only a derived node goes on to its parents
     derived = {i: n if known_step(n) not in (None, "source") and n.get("ungrounded") is not True else {} for i, n in nodes.items()}
-    below = strictly_below(derived)
-    bad = {i for i, n in nodes.items() if _bad(n, below[i], i) or (isinstance(n.get("from") if isinstance(n, dict) else None, list) and known_step(n) != "source" and not all(isinstance(p, str) for p in n["from"]))}
+    parents = parents_of(derived)
+    inside = looped(parents)
+    bad = {i for i, n in nodes.items() if _bad(n, inside, i) or (isinstance(n.get("from") if isinstance(n, dict) else None, list) and known_step(n) != "source" and not all(isinstance(p, str) for p in n["from"]))}
+    over = resting(parents, bad | {p for below in parents.values() for p in below if p not in nodes})
     out = {}
     for i, n in nodes.items():
         if known_step(n) is None:
@@ -68,7 +134,7 @@ def states(graph: object) -> dict[str, str]:
         if n.get("ungrounded") is True:
             out[i] = "ungrounded"
         else:
-            out[i] = "partial" if i in bad or any(p in bad or p not in nodes for p in below[i]) else "full"
+            out[i] = "partial" if i in bad or i in over else "full"
     return out
 
 

@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import date
+from functools import cache
 from typing import NamedTuple
 
 from ..functions.jsontext import dump
@@ -23,6 +24,9 @@ MAX_ROWS, MAX_DESC = 10, 120
 SPACE = " \t\n\v\f\r\xa0                　﻿"
 SEVERITY = dict.fromkeys(("S1", "S2", "S3", "S4", "C1", "C4", "C5", "C6", "C9"), "error") | dict.fromkeys(("S5", "S6", "S7", "S8", "S9", "C2", "C3", "C7", "C8"), "warning")
 
+#: Every code; rules are asked for those that are wanted.
+ALL = frozenset(SEVERITY)
+
 
 class Issue(NamedTuple):
     code: str
@@ -98,6 +102,8 @@ REQUIREMENTS: dict[str, list] = {
     "figure": ["C4", ("may", "value", "value", "a number or a string"), ("may", "display", "string", "the text exactly as shown on the page"), ("may", "label", "string", "a string"), ("may", "sql", "text", "a query returning one cell"), ("may", "expr", "text", "a SQL expression over figure ids"), "C9", "S8", ("want", "value", None, "the number or name the page shows"), ("want", "display", None, "the text exactly as shown on the page"), ("want", "label", None, "what the number is, in words")],
     "insight": ["C4", ("need", "text", "text", "the claim, as text")],
 }
+#: What single nodes are told.
+NODE_CODES = frozenset(("S2", "S3", "S4", "S5", "S6", "S7", "S8", "S9", "C4", "C9"))
 
 _OWN = {"sql": "kind desc how mart period sql columns rows", "external": "kind type ref given columns rows", "view": "from ungrounded desc sql columns encoding rows", "figure": "from ungrounded desc sql expr value display label", "insight": "from ungrounded text"}
 FIELDS = {kind: {"step", "transform", *own.split()} for kind, own in _OWN.items()}
@@ -176,8 +182,15 @@ def _rule(code: str, node_id: str, node: dict) -> Iterator[Issue]:
         yield Issue("S8", node_id, "expr", f"cannot read `{node['expr']}` at character {problem[1] + 1}: {problem[0]}")
 
 
-def _node(node_id: str, node: object) -> Iterator[Issue]:
-    if not ID.match(node_id):
+@cache
+def _items(kind: str | None, codes: frozenset[str]) -> list:
+    """The requirements of a kind of node that can give any of ``codes``."""
+    gives = lambda item: {"C4": {"S4", "C4"}}.get(item, {item}) if isinstance(item, str) else {"S7" if item[0] == "want" else "S4"}
+    return [item for item in REQUIREMENTS.get(kind, []) if gives(item) & codes]
+
+
+def _node(node_id: str, node: object, codes: frozenset[str] = ALL) -> Iterator[Issue]:
+    if "S2" in codes and not ID.match(node_id):
         yield Issue("S2", node_id, None, f"`{node_id}` is not a valid id: use lowercase letters, digits and _, starting with a letter")
     if not isinstance(node, dict):
         yield Issue("S4", node_id, None, f"node must be an object, got {named(node)}")
@@ -186,38 +199,40 @@ def _node(node_id: str, node: object) -> Iterator[Issue]:
         said = f"unknown step {dump(node['step'], None)}; expected one of {', '.join(STEPS)}" if "step" in node else "missing `step`"
         yield Issue("S3", node_id, "step", said)
         return
-    yield from _required(node_id, node, step, "may", "transform", "string", "a string")
-    if step == "source":
-        yield from _required(node_id, node, step, "need", "kind", "kind", '"sql" or "external"')
+    if "S4" in codes:
+        yield from _required(node_id, node, step, "may", "transform", "string", "a string")
+        if step == "source":
+            yield from _required(node_id, node, step, "need", "kind", "kind", '"sql" or "external"')
     kind, grounded = kind_of(node), node.get("ungrounded") is not True
-    for item in REQUIREMENTS.get(kind, []):
+    for item in _items(kind, codes):
         if isinstance(item, str):
             yield from _rule(item, node_id, node)
         else:
             mode = ("need" if grounded else "may") if item[0] == "sql" else item[0]
             yield from _required(node_id, node, step, mode, *item[1:])
     if kind and "desc" in FIELDS[kind]:
-        yield from _required(node_id, node, step, "may", "desc", "string", "a string")
-        if grounded:
+        if "S4" in codes:
+            yield from _required(node_id, node, step, "may", "desc", "string", "a string")
+        if grounded and "S7" in codes:
             yield from _required(node_id, node, step, "want", "desc", None, _desc)
         desc, limit = node.get("desc"), f"keep it to one line of {MAX_DESC} or fewer"
         if isinstance(desc, str) and len(desc) > MAX_DESC:
             yield Issue("S9", node_id, "desc", f"`desc` is {len(desc)} characters; {limit}")
         elif isinstance(desc, str) and re.search(r"[\r\n]", desc):
             yield Issue("S9", node_id, "desc", f"`desc` has a line break; {limit}")
-    if kind:
+    if kind and "S5" in codes:
         yield from (Issue("S5", node_id, f, f"unknown field `{f}` on a {step}") for f in node if f not in FIELDS[kind])
     prefix = PREFIX["sql"] if kind is None else PREFIX[kind]
-    if ID.match(node_id) and not node_id.startswith(prefix):
+    if "S6" in codes and ID.match(node_id) and not node_id.startswith(prefix):
         yield Issue("S6", node_id, None, f"{KIND_NAME.get(kind or 'sql', step)} ids conventionally start with `{prefix}`, e.g. {prefix}1")
 
 
-def validate(graph: object) -> list[Issue]:
-    """Every per-node issue of a graph, in graph order; never raises."""
+def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:
+    """Every per-node issue of a graph that has one of ``codes``, in graph order; never raises."""
     if not isinstance(graph, dict):
-        return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")]
-    out = [*_header(graph)]
-    if isinstance(graph.get("nodes"), dict):
+        return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")] if "S1" in codes else []
+    out = [*_header(graph)] if "S1" in codes or "S5" in codes else []
+    if isinstance(graph.get("nodes"), dict) and not codes.isdisjoint(NODE_CODES):
         for node_id, node in graph["nodes"].items():
-            out += _node(node_id, node)
-    return out
+            out += _node(node_id, node, codes)
+    return out if codes is ALL else [x for x in out if x.code in codes]

@@ -7,7 +7,7 @@ JSON type. All that follows are column expressions, joins and aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,6 +65,41 @@ def parsed(reports: DataFrame) -> DataFrame:
     return reports.select(F.col("report_id").cast("string"), "report", "html", "sidecar").mapInArrow(run, PARSED)
 
 
+def by_report(reports: DataFrame, schema: str, of: Callable[[object, str, str], Iterable[tuple]], unread: Callable[[str], Iterable[tuple]] | None = None) -> DataFrame:
+    """Rows ``schema``, a report's id and what ``of`` makes of its graph, page and name, or ``unread`` of its error.
+
+    A report is read, asked and let go in its batch: nothing is written, kept or
+    shuffled, and only what was asked for goes back. ``parsed`` is for those who
+    need whole reports as tables.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(reports.sparkSession.createDataFrame([], f"report_id string, {schema}").schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, name, html, side in zip(*(c.to_pylist() for c in batch.columns)):
+                html, name = html or "", name or ""
+                try:
+                    graph, _ = read_graph(html, side, None, name)
+                except GraphError as e:
+                    rows = () if unread is None else unread(str(e))
+                else:
+                    rows = of(graph, html, name)
+                out += [(i, *row) for row in rows]
+            columns = [*zip(*out)] or [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    return reports.select(F.col("report_id").cast("string"), "report", "html", "sidecar").mapInArrow(run, f"report_id string, {schema}")
+
+
+def nodes_of(graph: object) -> dict:
+    """The nodes of a graph that can be read, none if they can't."""
+    found = graph.get("nodes") if isinstance(graph, dict) else None
+    return found if isinstance(found, dict) else {}
+
+
 def _field(fields: Column, name: str) -> Column:
     """The struct of a field, null if it is absent."""
     return F.try_element_at(F.filter(fields, lambda f: f["name"] == name), F.lit(1))
