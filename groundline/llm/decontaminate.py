@@ -51,6 +51,7 @@ MIN_WORDS = 5
 ANSWER_WORDS = 5  # an answer without a mark has as many words, so that one changed word does not undo it
 MARKS = ".,;:!?\"'`()[]{}<>*#%&$-_=+~|/\\"
 _BUCKET = 256
+PIECE = 64  # rows summed one after another
 
 
 _SPACED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + MARKS.encode(), b"abcdefghijklmnopqrstuvwxyz" + b" " * len(MARKS))
@@ -107,15 +108,47 @@ def _blocks(all_ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids[keep], block[keep], first
 
 
+def _sums(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of ``rows[at[b : b + n]]`` for each ``b`` of ``begin`` and ``n`` of ``count``, one at least: the first of all groups, then the second of those that have one."""
+    order = np.argsort(-count, kind="stable")
+    begin = begin[order]
+    out = rows[at[begin]]
+    for j, m in enumerate(np.searchsorted(-count[order], -np.arange(1, count.max()), side="left"), 1):
+        out[:m] += rows[at[begin[:m] + j]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    begin = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
+    return begin, np.diff(np.append(begin, len(sorted_keys)))
+
+
 def _summed(ids: np.ndarray, block: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
     """Sum of ``rows[ids]`` in each block, (n, k)."""
     out = np.zeros((n, rows.shape[1]), dtype=np.float32)
     if len(ids):
-        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        out[block[new]] = np.add.reduceat(rows[ids], new, axis=0)
+        begin, count = _groups(block)
+        out[block[begin]] = _sums(rows, ids, begin, count)
     return out
 
 
+def _gathered(ids: np.ndarray, block: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term of ``ids`` and the sum of ``rows[block]`` over its places: of PIECE places first, then of these sums."""
+    order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")
+    ids, block = ids[order], block[order]
+    if not len(ids):
+        return ids, np.zeros((0, rows.shape[1]), dtype=rows.dtype)
+    begin, count = _groups(ids)
+    pieces = -(-count // PIECE)
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    sums = _sums(rows, block, np.repeat(begin, pieces) + nth * PIECE, np.minimum(PIECE, np.repeat(count, pieces) - nth * PIECE))
+    return ids[begin], _sums(sums, np.arange(len(sums)), first, pieces)
+
+
 def _windows(blocks: np.ndarray) -> np.ndarray:
     """Sums of BLOCKS neighbours: the passage that begins at each block but the last ones."""
     out = blocks[: len(blocks) - BLOCKS + 1].copy()
@@ -164,22 +197,18 @@ def _added(rows: DataFrame, terms: int, width: int, basis: np.ndarray, idf: np.n
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((terms + 1, width))
         weighted = (basis * idf[:, None]).astype(np.float32)
-        squares = (idf**2).astype(np.float32)[:, None]
+        squares = idf**2
         for _, held in _batches(batches, 0):
             ids, block, first = _blocks(held)
             rare = idf[ids] > 0
             ids, block = ids[rare], block[rare]
             y = _windows(_summed(ids, block, int(first[-1]), weighted))
-            y /= np.maximum(_windows(_summed(ids, block, int(first[-1]), squares)), 1e-6)
+            y /= np.maximum(_windows(np.bincount(block, squares[ids], int(first[-1]))), 1e-6).astype(np.float32)[:, None]
             # what each block gives back: the sum over the passages that it is in
             around = np.zeros((len(y) + 2 * (BLOCKS - 1), width), dtype=np.float32)
             around[BLOCKS - 1 : BLOCKS - 1 + len(y)] = y
-            back = _windows(around)
-            order = np.argsort(ids, kind="stable")
-            ids, block = ids[order], block[order]
-            if len(ids):
-                new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                total[ids[new]] += np.add.reduceat(back[block], new, axis=0)
+            some, sums = _gathered(ids, block, _windows(around))
+            total[some] += sums
         total *= idf[:, None]
         salt = TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array(list(range(0, terms + 1, _BUCKET)), pa.int64()), pa.array([salt] * len(range(0, terms + 1, _BUCKET)), pa.int64()), pa.array([total[k : k + _BUCKET].tobytes() for k in range(0, terms + 1, _BUCKET)], pa.binary())], ["bucket", "salt", "block"])
@@ -370,11 +399,11 @@ def _searched(docs: DataFrame, got: list[tuple[int, str, list[bytes]]], cosine:
         if len(item) < MIN_WORDS:
             return (1.0, 1.0) if _whole(item, words) else None
         marked[distinct[k]] = True
-        shared = np.count_nonzero(marked[words])
+        shared = words[marked[words]]  # other words are in no common subsequence
         marked[distinct[k]] = False
-        if shared < least * len(item):
+        if len(shared) < least * len(item):
             return None  # too few of its words are there, in whatever order
-        near = words.tolist()
+        near = shared.tolist()
         covered = lcs(item, near) / len(item)
         of_answer = lcs(its_answer, near) / max(1, len(its_answer))
         return (covered, of_answer) if covered >= least and of_answer >= answer else None

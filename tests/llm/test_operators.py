@@ -433,6 +433,25 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.lcs([1, 2, 3, 2], [3, 1, 2, 2]) == 3
 
 
+def test_sums_of_terms_and_blocks():
+    """Rows are summed group after group's place, not group after group; a term of many places goes through pieces."""
+    r = np.random.default_rng(3)
+    rows = r.integers(-9, 9, (500, 5)).astype(np.float32)
+    for n in (0, 1, 7, 5000):
+        block = np.sort(r.integers(0, 500, n))
+        ids = np.where(r.random(n) < 0.5, 3, r.integers(1, 500, n))  # half of all places are one term's
+        blocks, terms = np.zeros((500, 5)), np.zeros((500, 5))
+        for i, b in zip(ids, block):
+            blocks[b] += rows[i]
+            terms[i] += rows[b]
+        assert (decontaminate._summed(ids, block, 500, rows) == blocks).all()
+        some, sums = decontaminate._gathered(ids, block, rows)
+        got = np.zeros((500, 5))
+        got[some] += sums
+        assert (got == terms).all() and some.tolist() == sorted({*ids.tolist()})
+    assert decontaminate.PIECE < 2500
+
+
 def test_decontamination_against_brute_force(spark):
     """Every document against every item at every place, by the decision alone."""
     r = random.Random(31)
