@@ -75,6 +75,13 @@ def resting(parents: dict[str, list[str]], on: set[str]) -> set[str]:
 def looped(parents: dict[str, list[str]]) -> set[str]:
     """Ids that are under themselves: those of strongly connected components of two or more, and their own parents."""
     out = {i for i, below in parents.items() if i in below}
+    before: set[str] = set()
+    for i, below in parents.items():
+        if any(p not in before and p != i and p in parents for p in below):
+            break
+        before.add(i)
+    else:
+        return out  # every edge goes to an earlier node: no cycle
     ended: dict[str, None] = {}  # in order of a depth-first walk's ends
     seen: set[str] = set()
     for start in parents:

@@ -153,16 +153,17 @@ def _header(graph: dict) -> Iterator[Issue]:
     yield from (Issue("S5", None, f, f"unknown top-level field `{f}`") for f in graph if f not in HEADER)
 
 
-def _required(node_id: str, node: dict, step: str, mode: str, field: str, tag: str | None, what: str) -> Iterator[Issue]:
+def _required(node_id: str, node: dict, step: str, mode: str, field: str, tag: str | None, what: str) -> tuple[Issue, ...]:
     there = field in node
     if mode == "want":
         if not there or (isinstance(node[field], str) and not is_text(node[field])):
-            yield Issue("S7", node_id, field, f"{step} has no `{field}` ({what})")
+            return (Issue("S7", node_id, field, f"{step} has no `{field}` ({what})"),)
     elif not there:
         if mode == "need":
-            yield Issue("S4", node_id, field, f"{step} is missing `{field}`")
+            return (Issue("S4", node_id, field, f"{step} is missing `{field}`"),)
     elif not TAGS[tag](node[field]):
-        yield Issue("S4", node_id, field, f"`{field}` must be {what}")
+        return (Issue("S4", node_id, field, f"`{field}` must be {what}"),)
+    return ()
 
 
 def _rule(code: str, node_id: str, node: dict) -> Iterator[Issue]:
@@ -215,10 +216,10 @@ def _node(node_id: str, node: object, codes: frozenset[str] = ALL) -> Iterator[I
             yield from _required(node_id, node, step, "may", "desc", "string", "a string")
         if grounded and "S7" in codes:
             yield from _required(node_id, node, step, "want", "desc", None, _desc)
-        desc, limit = node.get("desc"), f"keep it to one line of {MAX_DESC} or fewer"
+        desc, limit = node.get("desc") if "S9" in codes else None, f"keep it to one line of {MAX_DESC} or fewer"
         if isinstance(desc, str) and len(desc) > MAX_DESC:
             yield Issue("S9", node_id, "desc", f"`desc` is {len(desc)} characters; {limit}")
-        elif isinstance(desc, str) and re.search(r"[\r\n]", desc):
+        elif isinstance(desc, str) and ("\r" in desc or "\n" in desc):
             yield Issue("S9", node_id, "desc", f"`desc` has a line break; {limit}")
     if kind and "S5" in codes:
         yield from (Issue("S5", node_id, f, f"unknown field `{f}` on a {step}") for f in node if f not in FIELDS[kind])

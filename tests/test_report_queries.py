@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from groundline import report_queries
 from groundline.check import check, issues_of, scripts_of
+from groundline.functions import jsontext
 from groundline.functions.jsontext import GraphError, parse_graph
 from groundline.operators.summary import grounds
 from groundline.operators.trace import looped, parents_of, resting, states, strictly_below
@@ -43,6 +45,62 @@ def test_a_query_writes_and_shuffles_no_reports(spark, orders, name):
     assert sorted(map(tuple, df.collect()), key=key) == sorted(db.execute(sql).fetchall(), key=key)
 
 
+def test_reports_are_written_in_one_go(spark, tmp_path):
+    """No text of a report is searched for its values; odd orders have the pages that replacing gave them."""
+    rows = [(-3, 1.5, "1996-01-31"), (0, 99.99, "1996-02-28"), (33, 5.0, "1999-12-31"), (46, 12.0, "2000-01-01"), (60, 7.345, "2000-02-01"), (70, None, "2000-01-01"), (71, 1.0, None), (None, 1.0, "2000-01-01")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderdate string").withColumn("o_orderdate", F.to_date("o_orderdate").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    df = report_queries.reports(spark, str(tmp_path))
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {x.report_id: x.html for x in df.collect()}
+    assert {k for k, html in got.items() if html is None} == {"70", "71", None} and len(got) == len(rows)
+
+    def replaced(key, price, whole, begin, before, end):
+        v = key % len(DAMAGE) if key > 0 else 0
+        graph, html = (text if not edit or edit[0] == "$all" else text.replace(*edit) for text, edit in zip((report_queries._GRAPH, report_queries._PAGE), DAMAGE[v]))
+        values = {"$key": str(key), "$price": price, "$whole": whole, "$from": begin, "$to": end, "$before": before, "$long": "d" * (key % 50 + 100)}
+        html = html.replace("</body>", ("" if v == 31 else report_queries.OPEN_TAG + graph + "</script>") + "</body>")
+        for name, value in values.items():
+            html = html.replace(name, value)
+        return html
+
+    assert got["-3"] == replaced(-3, "1.50", "1", "1996-01-31", "1996-02-29", "1996-03-01")
+    assert got["0"] == replaced(0, "99.99", "99", "1996-02-28", "1996-03-28", "1996-03-29")
+    assert got["33"] == replaced(33, "5.00", "5", "1999-12-31", "2000-01-29", "2000-01-30")
+    assert got["46"] == replaced(46, "12.00", "12", "2000-01-01", "2000-01-30", "2000-01-31") and "d" * 146 in got["46"]
+    assert got["60"] == replaced(60, "7.35", "7", "2000-02-01", "2000-03-01", "2000-03-02") and "'2000-03-01'" in got["60"]
+
+
+def test_plain_json_is_read_as_with_its_keys_looked_at():
+    r = random.Random(8)
+    parts = ["{", "}", "[", "]", ":", ",", '"a"', '"b"', '"7"', '""', '"x:y"', '"\\u0061"', "1", "null", "true", " ", "NaN", "\ufeff"]
+
+    def value(depth):
+        kind = r.randint(0, 5) if depth else 5
+        if kind > 3:
+            return r.choice(['"a"', '"x:y"', "1", "null", "1e400", '"7"', "[]", "{}"])
+        if kind > 1:
+            return "{" + ", ".join(f'{r.choice(parts[6:12])} : {value(depth - 1)}' for _ in range(r.randint(0, 3))) + "}"
+        return "[" + ",".join(value(depth - 1) for _ in range(r.randint(0, 3))) + "]"
+
+    def read(text):
+        try:
+            return repr(parse_graph(text, "g"))
+        except GraphError as e:
+            return str(e)
+
+    plain = 0
+    for k in range(20_000):
+        text = value(3) if k % 2 else "".join(r.choice(parts) for _ in range(r.randint(0, 6)))
+        kept, jsontext._plain = jsontext._plain, lambda text: None
+        try:
+            slow = read(text)
+        finally:
+            jsontext._plain = kept
+        plain += jsontext._plain(text) is not None
+        assert read(text) == slow, text
+    assert plain > 1000 and jsontext._plain('{"a": 1, "a": {"b": "x"}}') is None
+
+
 def test_one_code_is_that_part_of_all(spark):
     r = random.Random(5)
     rows = [(str(k), "r.html", html, json.dumps(graph)) for k, (graph, html) in enumerate(damaged(r) for _ in range(200))]
