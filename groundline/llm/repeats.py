@@ -240,16 +240,18 @@ def settle(docs: DataFrame, symbols: Callable[[bytes], tuple[np.ndarray, bytes]]
     return common.written(sent.repartition(buckets, place).transform(common.in_arrow, decide, RUNS), "repeat-runs")
 
 
-def contexts(docs: DataFrame, found: DataFrame, span: Callable[[bytes], Callable[[int, int], bytes]]) -> DataFrame:
-    """(g, c, d, owner, flag, data): one copy of each class with the bytes that it spans, dealt and sorted by minimizer."""
+def contexts(docs: DataFrame, found: DataFrame, span: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """(g, c, d, owner, flag, data): one copy of each class with the bytes that it spans, dealt and sorted by minimizer.
+
+    ``span`` gives the bytes of a text's runs, whose first windows and counts of windows it gets.
+    """
     wanted = found.where(F.col("kind") == CLASS).groupBy("id", "h").agg(F.collect_list(F.struct("g", "c", "d", "at", "n", "flag")).alias("wanted"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, wants in zip(batch.column(0), batch.column(1), batch.column(2)):
-                take, places = span(text.as_py().encode()), wants.values
-                g, c, d, at, n, flag = (places.field(k) for k in range(6))
-                data = [take(a, b) for a, b in zip(at.to_pylist(), n.to_pylist())]
+                g, c, d, at, n, flag = (wants.values.field(k) for k in range(6))
+                data = span(text.as_py().encode(), at.to_numpy(), n.to_numpy())
                 yield pa.RecordBatch.from_arrays([g, c, d, pa.array([doc_id.as_py()] * len(data), pa.int64()), flag, pa.array(data, pa.binary())], ["g", "c", "d", "owner", "flag", "data"])
 
     joined = keyed(docs).join(wanted, ["id", "h"]).select("id", "text", "wanted")

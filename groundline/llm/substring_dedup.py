@@ -1,13 +1,16 @@
 """Operator 8: removal of words in windows that an earlier document has, by FM-indexes and matching statistics.
 
 ``repeats`` drops the windows whose minimizer no other document has. Of what is
-left, one copy of each different run is indexed, shard by shard, in a compressed
-FM-index: the Burrows-Wheeler transform of the runs' words in a wavelet matrix
-(bit vectors with block counts), the documents that the suffixes are from in a
-second one, and the common prefixes of neighbours with their next smaller values.
-
-The documents' runs are streamed against it from their last word to their
-first. Backward search takes the next word while some document with a smaller
+left, one copy of each different run goes to a shard. A run none of whose windows
+another document's run has can neither hold nor lend a match: these are left out,
+by a hash of windows that may keep one too many. The others are indexed, shard by
+shard, in a compressed FM-index: the Burrows-Wheeler transform of the runs' words
+in a wavelet matrix (bit vectors with block counts), the documents that the
+suffixes are from in a second one, and the common prefixes of neighbours with
+their next smaller values.
+
+The runs that an earlier document may share are streamed against it from their
+last word to their first. Backward search takes the next word while some document with a smaller
 id has what is matched (the least document of an interval of suffixes is a walk
 down the second matrix); where it fails, the match is cut to the longest prefix
 that more suffixes have, and it goes on. That gives at each word the length of
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +189,29 @@ class FMIndex:
         return out, begin
 
 
+def shared_windows(text: np.ndarray, lengths: np.ndarray, owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings have a window of ``length`` symbols that another owner's string has, and which one that a smaller owner's has.
+
+    Windows are told apart by a hash: one too many is possible, one too few is not.
+    """
+    string = np.repeat(np.arange(len(lengths)), lengths - length + 1)
+    nth = np.arange(len(string)) - np.repeat(np.cumsum(lengths - length + 1) - (lengths - length + 1), lengths - length + 1)
+    at = np.repeat(np.cumsum(lengths) - lengths, lengths - length + 1) + nth
+    up, down = repeats.powers(len(text) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(text) + 1, dtype=np.uint64)
+        np.cumsum(text * up[: len(text)], out=sums[1:])
+        window = (sums[at + length] - sums[at]) * down[at]
+    order = np.argsort(window, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(window[order]) != 0]))
+    owner, size = owners[string][order], np.diff(np.append(first, len(order)))
+    least, most = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    some, earlier = np.zeros(len(lengths), bool), np.zeros(len(lengths), bool)
+    some[string[order][np.repeat(least < most, size)]] = True
+    earlier[string[order][np.repeat(least, size) < owner]] = True
+    return some, earlier
+
+
 SHARED = "c long, d long, flag boolean, from long, to long"
 
 
@@ -198,13 +225,16 @@ def earlier_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns = (c[which[k]], d[which[k]], np.full(len(which[k]), flag), begins[k], ends[k])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["c", "d", "flag", "from", "to"])
 
-        lengths = lengths // 8
-        ids, owner = np.unique(owner, return_inverse=True)
-        index = FMIndex(np.frombuffer(data, dtype=np.uint64), lengths, owner)
-        # the first document of a minimizer has nothing before it
-        new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        least = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(g))))
-        first, later = np.flatnonzero(owner > least), np.flatnonzero(several)
+        lengths, text, later = lengths // 8, np.frombuffer(data, dtype=np.uint64), np.flatnonzero(several)
+        yield from batches(later, True, np.zeros(len(later), np.int64), lengths[later])
+        # most strings under a minimizer have no more in common: they neither hold nor lend a match
+        held, earlier = shared_windows(text, lengths, owner, length)
+        which = np.flatnonzero(held)
+        if not len(which):
+            return
+        ids, owner = np.unique(owner[which], return_inverse=True)
+        index = FMIndex(text[np.repeat(held, lengths)], lengths[which], owner)
+        first = np.flatnonzero(earlier[which])
         for at in range(0, len(first), 1 << 16):
             some = first[at : at + (1 << 16)]
             found, begin = index.statistics(some, owner[some])
@@ -215,8 +245,7 @@ def earlier_strings(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1) | (found[place[1:]] != found[place[:-1]] - 1)
             place, string = place[new], string[new]
             begins = place - begin[string]
-            yield from batches(some[string], False, begins, begins + found[place])
-        yield from batches(later, True, np.zeros(len(later), np.int64), lengths[later])
+            yield from batches(which[some[string]], False, begins, begins + found[place])
 
     return repeats.in_shards(rows, run, SHARED)
 
@@ -225,9 +254,14 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """(id, h, a, b): word stretches of documents in strings of ``length`` or more that a document with a smaller id has."""
     found = repeats.settle(docs, symbols, length, gram, ordered=True)
 
-    def span(text: bytes):
-        words, _ = symbols(text)
-        return lambda at, n: words[at : at + n + length - 1].tobytes()
+    def span(text: bytes, at: np.ndarray, n: np.ndarray) -> list[bytes]:
+        # only the words of these runs are hashed
+        words, size = text.split(), n + length - 1
+        edges = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + size, minlength=len(words) + 1)
+        wanted = np.cumsum(edges[:-1]) > 0
+        data = np.fromiter(map(xxhash.xxh64_intdigest, compress(words, wanted.tobytes())), dtype=np.uint64, count=int(wanted.sum())).tobytes()
+        place = (np.cumsum(wanted) - wanted)[at]
+        return [data[a:b] for a, b in zip((8 * place).tolist(), (8 * (place + size)).tolist())]
 
     return repeats.carried(found, earlier_strings(repeats.contexts(docs, found, span), length))
 

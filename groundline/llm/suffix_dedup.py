@@ -256,7 +256,7 @@ def repeat_groups(rows: DataFrame, least: int = LENGTH) -> DataFrame:
 def _occurrences(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """The runs of ``docs`` and the maximal repeats in them."""
     found = repeats.settle(docs, symbols, length, gram, ordered=False)
-    span = lambda text: lambda at, n: text[at : at + n + length - 1]
+    span = lambda text, at, n: [text[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
     return found, repeat_groups(repeats.contexts(docs, found, span), length)
 
 

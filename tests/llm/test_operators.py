@@ -325,6 +325,31 @@ def test_matching_statistics():
             assert got[begin[k] : begin[k] + len(s)].tolist() == want
 
 
+def test_only_runs_with_a_shared_window_are_indexed(monkeypatch):
+    r = random.Random(13)
+    for _ in range(40):
+        strings = [[r.randrange(3) for _ in range(r.randint(4, 12))] for _ in range(r.randint(1, 9))]
+        owners = np.array([r.randrange(4) for _ in strings])
+        windows = [{tuple(s[k : k + 4]) for k in range(len(s) - 3)} for s in strings]
+        held, earlier = substring_dedup.shared_windows(np.array(sum(strings, []), dtype=np.uint64), np.array([*map(len, strings)]), owners, 4)
+        assert held.tolist() == [any(a & b and o != p for b, p in zip(windows, owners)) for a, o in zip(windows, owners)]
+        assert earlier.tolist() == [any(a & b and p < o for b, p in zip(windows, owners)) for a, o in zip(windows, owners)]
+    sizes: list[int] = []
+
+    class Index(substring_dedup.FMIndex):
+        def __init__(self, text, lengths, owners):
+            sizes.append(len(lengths))
+            super().__init__(text, lengths, owners)
+
+    monkeypatch.setattr(substring_dedup, "FMIndex", Index)
+    monkeypatch.setattr(repeats, "in_shards", lambda rows, index, schema: index)
+    run = substring_dedup.earlier_strings(None, 4)
+    data = np.array([1, 2, 3, 4, 5, 9, 1, 2, 3, 4, 6, 7, 8, 9, 5, 6, 7, 9], dtype=np.uint64)
+    # of one minimizer: the first and the second share 1 2 3 4, the others share nothing
+    got = [row for batch in run(*(np.array([7] * 4), np.arange(4), np.arange(4), np.array([10, 20, 20, 30]), np.array([False, False, False, True])), np.array([5, 5, 4, 4]) * 8, data.tobytes()) for row in batch.to_pylist()]
+    assert sizes == [2] and sorted((x["c"], x["flag"], x["from"], x["to"]) for x in got) == [(1, False, 1, 5), (3, True, 0, 4)]
+
+
 def test_smaller_neighbours():
     r = np.random.default_rng(5)
     for n in (1, 2, 50, 400):
