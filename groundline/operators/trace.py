@@ -47,7 +47,10 @@ def strictly_below(nodes: dict) -> dict[str, set[str]]:
             p = todo.pop()
             if p not in seen:
                 seen.add(p)
-                todo += parents.get(p, [])
+                if p in out:  # all that is under it is known
+                    seen |= out[p]
+                else:
+                    todo += parents.get(p, [])
         out[i] = seen
     return out
 

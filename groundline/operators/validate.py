@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 from functools import cache
+from itertools import repeat
 from typing import NamedTuple
 
 from ..functions.jsontext import dump
@@ -48,7 +49,7 @@ def is_number(x: object) -> bool:
 
 
 def is_list(x: object) -> bool:
-    return isinstance(x, list) and all(isinstance(y, str) for y in x)
+    return isinstance(x, list) and all(map(isinstance, x, repeat(str)))
 
 
 def is_date(x: object) -> bool:
@@ -190,6 +191,39 @@ def _items(kind: str | None, codes: frozenset[str]) -> list:
     return [item for item in REQUIREMENTS.get(kind, []) if gives(item) & codes]
 
 
+@cache
+def _tests(kind: str, step: str, grounded: bool, codes: frozenset[str]) -> tuple[frozenset[str], list[tuple]]:
+    """The fields that a node without an issue has, and the tests that values then pass, with their fields."""
+    items = [*_items(kind, codes)]
+    if "S4" in codes:
+        items += [("may", "transform", "string", ""), *([("need", "kind", "kind", "")] if step == "source" else []), *([("may", "desc", "string", "")] if "desc" in FIELDS[kind] else [])]
+    if "S7" in codes and grounded and "desc" in FIELDS[kind]:
+        items.append(("want", "desc", None, ""))
+    if "C4" in items:
+        items += [("may", "ungrounded", "bool", ""), ("need", "from", "strings", "")]
+    fields = [x for x in items if not isinstance(x, str)]
+    needs = frozenset(field for mode, field, *_ in fields if mode in ("need", "want") or (mode == "sql" and grounded))
+    tests = [(field, (lambda x: not isinstance(x, str) or is_text(x)) if mode == "want" else TAGS[tag]) for mode, field, tag, _ in fields]
+    if "C4" in items and grounded:
+        tests.append(("from", bool))
+    if "S8" in items:
+        tests.append(("expr", lambda x: not is_text(x) or expr_problem(x) is None))
+    if "S9" in codes and "desc" in FIELDS[kind]:
+        tests.append(("desc", lambda x: not isinstance(x, str) or (len(x) <= MAX_DESC and "\r" not in x and "\n" not in x)))
+    return needs, tests
+
+
+def _sound(node: dict, kind: str, step: str, grounded: bool, codes: frozenset[str]) -> bool:
+    """Whether a node surely has no issue but of its id; most have none, and one look at each field shows it."""
+    needs, tests = _tests(kind, step, grounded, codes)
+    if not needs <= node.keys() or ("C9" in codes and step == "figure" and ("sql" in node) == ("expr" in node)) or ("S5" in codes and not node.keys() <= FIELDS[kind]):
+        return False
+    for field, test in tests:
+        if field in node and not test(node[field]):
+            return False
+    return True
+
+
 def _node(node_id: str, node: object, codes: frozenset[str] = ALL) -> Iterator[Issue]:
     if "S2" in codes and not ID.match(node_id):
         yield Issue("S2", node_id, None, f"`{node_id}` is not a valid id: use lowercase letters, digits and _, starting with a letter")
@@ -200,11 +234,20 @@ def _node(node_id: str, node: object, codes: frozenset[str] = ALL) -> Iterator[I
         said = f"unknown step {dump(node['step'], None)}; expected one of {', '.join(STEPS)}" if "step" in node else "missing `step`"
         yield Issue("S3", node_id, "step", said)
         return
+    kind, grounded = kind_of(node), node.get("ungrounded") is not True
+    if kind is None or not _sound(node, kind, step, grounded, codes):
+        yield from _fields(node_id, node, step, kind, grounded, codes)
+    prefix = PREFIX["sql"] if kind is None else PREFIX[kind]
+    if "S6" in codes and ID.match(node_id) and not node_id.startswith(prefix):
+        yield Issue("S6", node_id, None, f"{KIND_NAME.get(kind or 'sql', step)} ids conventionally start with `{prefix}`, e.g. {prefix}1")
+
+
+def _fields(node_id: str, node: dict, step: str, kind: str | None, grounded: bool, codes: frozenset[str]) -> Iterator[Issue]:
+    """The issues of a node's fields, in order of report."""
     if "S4" in codes:
         yield from _required(node_id, node, step, "may", "transform", "string", "a string")
         if step == "source":
             yield from _required(node_id, node, step, "need", "kind", "kind", '"sql" or "external"')
-    kind, grounded = kind_of(node), node.get("ungrounded") is not True
     for item in _items(kind, codes):
         if isinstance(item, str):
             yield from _rule(item, node_id, node)
@@ -223,9 +266,6 @@ def _node(node_id: str, node: object, codes: frozenset[str] = ALL) -> Iterator[I
             yield Issue("S9", node_id, "desc", f"`desc` has a line break; {limit}")
     if kind and "S5" in codes:
         yield from (Issue("S5", node_id, f, f"unknown field `{f}` on a {step}") for f in node if f not in FIELDS[kind])
-    prefix = PREFIX["sql"] if kind is None else PREFIX[kind]
-    if "S6" in codes and ID.match(node_id) and not node_id.startswith(prefix):
-        yield Issue("S6", node_id, None, f"{KIND_NAME.get(kind or 'sql', step)} ids conventionally start with `{prefix}`, e.g. {prefix}1")
 
 
 def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:

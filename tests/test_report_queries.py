@@ -7,16 +7,19 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from groundline import check as checks
 from groundline import report_queries
 from groundline.check import check, issues_of, scripts_of
 from groundline.functions import jsontext
 from groundline.functions.jsontext import GraphError, parse_graph
+from groundline.operators import validate
 from groundline.operators.summary import grounds
 from groundline.operators.trace import looped, parents_of, resting, states, strictly_below
 from groundline.operators.validate import SEVERITY
 from groundline.plans.compose import compose
 from groundline.report_queries import DAMAGE, QUERIES
 from groundline.sources import page
+from groundline.sources.tables import nodes_of
 from tests.test_reports import GRAPH, PAGE, changed
 from tests.test_tables import damaged
 
@@ -115,6 +118,28 @@ def test_one_code_is_that_part_of_all(spark):
     assert scripts == {i: None if i in ("bad", "null") or (done := check(html, name, side)).failed else compose(done.graph, name) for i, name, html, side in rows}
 
 
+def test_a_failing_graph_is_told_without_its_page(monkeypatch):
+    r, read = random.Random(8), []
+    monkeypatch.setattr(checks, "bound_ids", lambda html: read.append(html) or page.bound_ids(html))
+    passed = 0
+    for _ in range(500):
+        graph, html = damaged(r)
+        issues = [x for x in checks.found(graph, html) if x.severity == "error"]
+        read.clear()
+        assert checks.failing(graph, html) == bool(issues), (graph, html)
+        assert len(read) == all(x.code == "C1" for x in issues)
+        assert page.bound_ids(html) == [b.id for b in page.read_page(html)[0]]
+        passed += not issues
+        for node_id, node in nodes_of(graph).items():
+            if (step := validate.known_step(node)) and (kind := validate.kind_of(node)):
+                grounded = node.get("ungrounded") is not True
+                for codes in (validate.ALL, checks.ERRORS, *(frozenset((code,)) for code in validate.NODE_CODES)):
+                    there = [x for x in validate._fields(node_id, node, step, kind, grounded, codes) if x.code in codes]
+                    assert not there or not validate._sound(node, kind, step, grounded, codes), (node, codes)
+    assert 50 < passed < 450
+    assert all(validate._sound(n, validate.kind_of(n), n["step"], True, validate.ALL) for n in GRAPH["nodes"].values())
+
+
 MARKUP = ["<p>", "</p>", "<b data-lineage=\"f1\">", "</b>", "<div class=\"a\" data-lineage=\"v1\">", "</div>", "<br>", "<br/>", "text", " 5 ", "&amp;", "a < b", "<script>", "</script>", "<script type=\"x\" data-lineage=\"s\">x < y</script>", "<!-- c -->", "<!doctype html>", "<title>", "</title>", "<title>t</title>", "<head>", "</head>", "<P>", "<i data-lineage='q'>", "<i data-lineage=f9>", "</i>", "<textarea>", "</textarea>", "<style>b{}</style>", "<style>", "<img data-lineage=\"f2\">", "<plaintext>", "\n", ">", "é", "<noscript>", "</noscript>", "<b data-lineage=\"a\" data-lineage=\"b\">", "<i title=\" data-lineage=\">"]
 
 
