@@ -168,6 +168,23 @@ def test_bindings_are_read_without_prose(monkeypatch):
     assert sum(len(page.bindings_of(html)) for html in pages if page._plain(html, prose=False) is not None) > 100 and not made
 
 
+def test_bare_numbers_need_texts_with_digits_only(monkeypatch):
+    r, has, made = random.Random(10), checks.HAS_DIGIT, []
+    for _ in range(5000):
+        html = "".join(r.choice(MARKUP) for _ in range(r.randint(0, 9)))
+        assert page.prose_of(html, has) == [p for p in page.read_page(html)[1] if has(p.text)], html
+    cases = [(graph, html, [x for x in checks.found(graph, html) if x.code == "C2"]) for graph, html in ((g, h.replace("&amp;", "and")) for g, h in (damaged(r) for _ in range(300)))]
+    kept = page.Prose
+    monkeypatch.setattr(page, "Prose", lambda *a: made.append(a) or kept(*a))
+    monkeypatch.setattr(checks, "read_page", None)
+    for graph, html, issues in cases:
+        plain = page._plain(html) is not None
+        made.clear()
+        assert checks.found(graph, html, frozenset(("C2",))) == issues
+        assert not plain or all(has(p[0]) for p in made)
+    assert any(issues and page._plain(html) is not None for _, html, issues in cases)
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
