@@ -185,6 +185,23 @@ def test_bare_numbers_need_texts_with_digits_only(monkeypatch):
     assert any(issues and page._plain(html) is not None for _, html, issues in cases)
 
 
+def test_display_needs_the_texts_of_figures_only(monkeypatch):
+    r = random.Random(11)
+    cases = [(graph, html, [x for x in checks.found(graph, html) if x.code == "C3"]) for graph, html in (damaged(r) for _ in range(300))]
+
+    class Unread(page.Binding):
+        text = property(lambda self: pytest.fail("no figure's text"))
+
+    monkeypatch.setattr(checks, "read_page", None)
+    monkeypatch.setattr(checks, "prose_of", None)
+    for graph, html, issues in cases:
+        assert checks.found(graph, html, frozenset(("C3",))) == issues
+        figures = {i for i, n in nodes_of(graph).items() if validate.known_step(n) == "figure"}
+        bindings = [b if b.id in figures else Unread(*b) for b in page.bindings_of(html)]
+        assert checks.cross_rules(graph, bindings, [], frozenset(("C3",))) == issues
+    assert any(issues for *_, issues in cases)
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
