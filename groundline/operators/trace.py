@@ -126,11 +126,63 @@ def looped(parents: dict[str, list[str]]) -> set[str]:
     return out
 
 
+def in_order(nodes: dict) -> tuple[dict[str, str], dict[str, str]] | None:
+    """``states`` and ``summary.grounds`` of nodes whose parents all come before them, in one pass; None for others."""
+    traced: dict[str, str] = {}
+    by: dict[str, str] = {}
+    low, broken, file = set(), set(), set()  # not full; over what is no node; a file or over one
+    there: set[str] = set()
+    for i, n in nodes.items():
+        there.add(i)
+        if n.__class__ is not dict:
+            low.add(i)
+            broken.add(i)  # to those over it
+            continue
+        step, given, ungrounded = known_step(n), n.get("from"), n.get("ungrounded") is True
+        derived = step is not None and step != "source"
+        below, sound = (), True
+        if given.__class__ is list and given:
+            below = given
+            for p in given:
+                if p.__class__ is not str:
+                    sound, below = False, [p for p in given if p.__class__ is str]
+                    break
+        elif derived:
+            sound = False
+        partial = not sound if derived else step is None or n.get("kind") != "sql"
+        is_broken, is_file = False, step == "source" and n.get("kind") == "external"
+        for p in below:
+            if p not in there:
+                if p in nodes:
+                    return None
+                partial, is_broken = partial or derived, True
+            elif p == i:
+                return None
+            else:
+                partial, is_broken, is_file = partial or derived and p in low, is_broken or p in broken, is_file or p in file
+        if ungrounded or partial:
+            low.add(i)
+        if is_broken:
+            broken.add(i)
+        if is_file:
+            file.add(i)
+        if step is not None:
+            traced[i] = "ungrounded" if ungrounded else "partial" if partial else "full"
+        by[i] = "sql" if step is not None and not (ungrounded or partial) else "file" if is_file and not (is_broken or step is not None and ungrounded) else "none"
+    return traced, by
+
+
 def states(graph: object) -> dict[str, str]:
     """full, partial or ungrounded for each node of a known step, in graph order."""
     nodes = graph.get("nodes") if isinstance(graph, dict) else None
     if not isinstance(nodes, dict):
         return {}
+    found = in_order(nodes)
+    return walked(nodes) if found is None else found[0]
+
+
+def walked(nodes: dict) -> dict[str, str]:
+    """``states`` of nodes in any order."""
     # only a derived node goes on to its parents
     derived = {i: n if known_step(n) not in (None, "source") and n.get("ungrounded") is not True else {} for i, n in nodes.items()}
     parents = parents_of(derived)

@@ -12,9 +12,9 @@ from groundline import report_queries
 from groundline.check import check, issues_of, scripts_of
 from groundline.functions import jsontext
 from groundline.functions.jsontext import GraphError, parse_graph
-from groundline.operators import rules, validate
-from groundline.operators.summary import grounds
-from groundline.operators.trace import looped, parents_of, resting, states, strictly_below
+from groundline.operators import rules, trace, validate
+from groundline.operators.summary import grounds, resting_grounds, traced_grounds
+from groundline.operators.trace import in_order, looped, parents_of, resting, states, strictly_below, walked
 from groundline.operators.validate import SEVERITY
 from groundline.plans.compose import compose
 from groundline.report_queries import DAMAGE, QUERIES
@@ -213,6 +213,27 @@ def test_mismatches_are_found_without_prose(monkeypatch):
             assert [*report_queries._mismatched(graph, html)] == rows
 
 
+def test_nodes_after_their_parents_are_traced_in_one_pass(monkeypatch):
+    r, passed = random.Random(13), []
+    for _ in range(5000):
+        names, nodes = [f"n{k}" for k in range(r.randint(0, 7))], {}
+        for k, i in enumerate(names):
+            node = {"step": r.choice(["source", "source", "view", "figure", "insight", "odd", []])} | ({"kind": r.choice(["sql", "external", {}])} if r.random() < 0.7 else {})
+            parents = [r.choice(names[:k] * 4 + [*names, "gone"]) if r.random() < 0.97 else r.choice([1, None, []]) for _ in range(r.randint(0, 3))]
+            node |= ({"from": r.choice([parents] * 9 + ["x"])} if r.random() < 0.9 else {}) | ({"ungrounded": r.choice([True, 1])} if r.random() < 0.1 else {})
+            nodes[i] = node if r.random() < 0.96 else r.choice([None, 5, []])
+        traced = walked(nodes)
+        both = traced, resting_grounds(nodes, traced)
+        assert traced_grounds({"nodes": nodes}) == both and states({"nodes": nodes}) == traced, nodes
+        if (found := in_order(nodes)) is not None:
+            assert [[*x.items()] for x in found] == [[*x.items()] for x in both], nodes
+            passed.append(nodes)
+    assert 1000 < len(passed) < 4000
+    monkeypatch.setattr(trace, "looped", None)
+    monkeypatch.setattr(trace, "resting", None)
+    assert [*report_queries._traced(GRAPH)] and all(states({"nodes": nodes}) is not None for nodes in passed)
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
