@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundline import check as checks
 from groundline import report_queries
 from groundline.check import check, issues_of, scripts_of
-from groundline.functions import jsontext
+from groundline.functions import jsontext, sqltext
 from groundline.functions.jsontext import GraphError, parse_graph
 from groundline.operators import rules, trace, validate
 from groundline.operators.summary import grounds, resting_grounds, traced_grounds
@@ -244,6 +244,25 @@ def test_a_summary_counts_each_node_once():
     assert seen > 200
 
 
+PIECES = ["select ", "'", '"', "--", "/*", "*/", "\n", "now", "NOW()", "Current_Date", "localtimestamp", "sysdate ", "getdate", "know", "date ", "'2026-01-01'", "(", ")", "*", ",", " p1 ", " P1", "p10", ".", "\u0130", "e.1"]
+
+
+def test_sql_without_comments_or_clocks_is_not_masked(monkeypatch):
+    r = random.Random(15)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 8))) for _ in range(20_000)]
+    for sql in texts:
+        first = {}
+        for name in sqltext._CLOCK.findall(sqltext.mask_sql(sql)):
+            first.setdefault(name.lower(), name)
+        assert sqltext.clock_functions(sql) == [*first.values()], sql
+    assert all(any(part in name for part in sqltext._CLOCK_PARTS) for name in sqltext.CLOCK_FUNCTIONS)
+    kept = [sqltext.mask_sql(sql, keep_strings=True) for sql in texts]
+    assert all(sql == code for sql, code in zip(texts, kept) if not any(x in sql for x in ('"', "--", "/*")))
+    monkeypatch.setattr(sqltext, "_OPAQUE", None)
+    sql = "select price from orders where d between '2026-01-01' and '2026-01-31'"
+    assert rules.pinning({"mart": "m", "columns": [], "sql": sql, "period": {"from": "2026-01-01", "to": "2026-02-01"}}) == ([], ["2026-02-01"], [])
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
