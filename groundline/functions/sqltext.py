@@ -9,7 +9,8 @@ in Python, a batch at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Collection, Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,13 +107,21 @@ def select_star(sql: str) -> bool:
     return False
 
 
-def missing_parents(sql: str, parents: Iterable[str]) -> list[str]:
+def missing_parents(sql: str, parents: Collection[str]) -> list[str]:
     """Parents that don't occur as a whole word outside strings and comments."""
+    if not parents:
+        return []
     code = mask_sql(sql)
-    return [p for p in parents if not re.search(rf"\b{re.escape(p)}\b", code, re.I | re.A)]
+    return [p for p in parents if not (_word(p) if len(p) < 100 else _word.__wrapped__(p))(code)]
+
+
+@lru_cache(4096)
+def _word(name: str) -> Callable[[str], re.Match | None]:
+    """The search for a name as a whole word."""
+    return re.compile(rf"\b{re.escape(name)}\b", re.I | re.A).search
 
 
-def style_findings(sql: str, parents: Iterable[str] = (), clock: bool = True) -> list[str]:
+def style_findings(sql: str, parents: Collection[str] = (), clock: bool = True) -> list[str]:
     """Messages on how a query is written."""
     out = []
     if select_star(sql):

@@ -3,6 +3,7 @@
 import copy
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,6 +264,20 @@ def test_sql_without_comments_or_clocks_is_not_masked(monkeypatch):
     assert rules.pinning({"mart": "m", "columns": [], "sql": sql, "period": {"from": "2026-01-01", "to": "2026-02-01"}}) == ([], ["2026-02-01"], [])
 
 
+def test_names_of_parents_are_compiled_once(monkeypatch):
+    r = random.Random(16)
+    names = ["p1", "P1", "p10", "e", "a.b", "", "\u0130", "now", "x" * 150]
+    for _ in range(5000):
+        sql, parents = "".join(r.choice([*PIECES, "x" * 150]) for _ in range(r.randint(0, 8))), r.sample(names, r.randint(0, 3))
+        code = sqltext.mask_sql(sql)
+        assert sqltext.missing_parents(sql, parents) == [p for p in parents if not re.search(rf"\b{re.escape(p)}\b", code, re.I | re.A)], (sql, parents)
+    sqltext._word.cache_clear()
+    sqltext.missing_parents("select 1", ["x" * 150, "p1", "p1"])
+    assert sqltext._word.cache_info()[:2] == (1, 1) and sqltext._word.cache_info().currsize == 1  # long names aren't kept
+    monkeypatch.setattr(sqltext, "mask_sql", None)
+    assert sqltext.style_findings("select price from orders where d > '2026-01-01'", [], clock=False) == []
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
