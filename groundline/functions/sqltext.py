@@ -158,7 +158,7 @@ def expr_problem(expr: str) -> tuple[str, int] | None:
 
 def expr_refs(expr: str, ids: Iterable[str]) -> list[str]:
     """Known ids that occur as bare words, in order of first occurrence."""
-    known = {i: None for i in ids}
+    known = ids if isinstance(ids, (dict, set, frozenset)) else {*ids}
     return [*{m["name"]: None for m in _READ.finditer(expr) if m["name"] in known}]
 
 

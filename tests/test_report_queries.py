@@ -278,6 +278,32 @@ def test_names_of_parents_are_compiled_once(monkeypatch):
     assert sqltext.style_findings("select price from orders where d > '2026-01-01'", [], clock=False) == []
 
 
+def test_a_chain_looks_at_each_step_once(monkeypatch):
+    r, told = random.Random(17), 0
+    looked = []
+    monkeypatch.setattr(rules, "known_step", lambda n: looked.append(n) or validate.known_step(n))
+    for graph in (GRAPH, *(damaged(r)[0] for _ in range(500))):
+        nodes = nodes_of(graph)
+        looked.clear()
+        issues = [*rules._chain(nodes)]
+        assert len(looked) == len(nodes)
+        for node_id, n in nodes.items():  # in the words of the rule
+            step = validate.known_step(n)
+            if step in (None, "source") or not validate.is_list(n.get("from")) or not n["from"] or (step == "figure" and ("sql" in n) == ("expr" in n)):
+                continue
+            shape = step if step != "figure" else "expr" if "expr" in n else "sql"
+            if shape == "expr" and (not isinstance(n["expr"], str) or sqltext.expr_problem(n["expr"])):
+                continue
+            gone = [p for p in n["from"] if p not in nodes]
+            wrong = any(validate.known_step(nodes[p]) not in (None, *rules._TEXT_OF[shape][0]) for p in n["from"] if p in nodes)
+            missed = shape == "expr" and any(x not in n["from"] for x in sqltext.expr_refs(n["expr"], nodes))
+            mine = [x.message for x in issues if x.node == node_id]
+            assert len(mine) == (1 if gone or wrong or missed else 0), (node_id, nodes)
+            assert not mine or (("names" in mine[0]) == bool(gone) and (rules._TEXT_OF[shape][1] in mine[0]) == wrong and ("uses" in mine[0]) == missed)
+            told += bool(mine)
+    assert told > 50
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
