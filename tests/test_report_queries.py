@@ -320,6 +320,32 @@ def test_a_chain_looks_at_each_step_once(monkeypatch):
     assert told > 50
 
 
+#: Of what kinds of nodes a code's rules look at the fields.
+LOOKED = {
+    "S2": set(),
+}
+
+
+@pytest.mark.parametrize("code", LOOKED)
+def test_a_code_looks_only_at_what_can_give_it(monkeypatch, code):
+    r, codes, told = random.Random(18), frozenset((code,)), 0
+    node, sound, walked_over, looked = validate._node, validate._sound, [], set()
+    monkeypatch.setattr(validate, "_node", lambda *a: walked_over.append(a) or node(*a))
+    monkeypatch.setattr(validate, "_sound", lambda n, kind, *a: looked.add(kind) or sound(n, kind, *a))
+    assert validate.validate(GRAPH, codes) == [] and not walked_over
+    assert looked == LOOKED[code]
+    for _ in range(500):
+        graph = damaged(r)[0]
+        if nodes_of(graph):
+            for i in r.sample([*nodes_of(graph)], 1):
+                graph["nodes"][r.choice(["I-1", "9a", "q9", "x9", "f9"])] = graph["nodes"].pop(i)
+        want = [] if not isinstance(graph, dict) else [*validate._header(graph), *(x for i, n in nodes_of(graph).items() for x in node(i, n, validate.ALL))]
+        want = [x for x in want if x.code == code]
+        assert not isinstance(graph, dict) or validate.validate(graph, codes) == want, graph
+        told += len(want)
+    assert told > 5
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
