@@ -274,8 +274,8 @@ def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:
         return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")] if "S1" in codes else []
     out = [*_header(graph)] if "S1" in codes or "S5" in codes else []
     if isinstance(graph.get("nodes"), dict) and not codes.isdisjoint(NODE_CODES):
-        others = not codes <= {"S2"}
+        others, ids, fields = not codes <= {"S2"}, "S2" in codes, not codes <= {"S2", "S3"}
         for node_id, node in graph["nodes"].items():
-            if others or not ID.match(node_id):
+            if ids and not ID.match(node_id) or others and (fields or known_step(node) is None):
                 out += _node(node_id, node, codes)
     return out if codes is ALL else [x for x in out if x.code in codes]
