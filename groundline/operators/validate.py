@@ -129,6 +129,11 @@ def kind_of(node: dict) -> str | None:
     return node["kind"] if TAGS["kind"](node.get("kind")) else None
 
 
+def _prefix(node: dict, step: str) -> str:
+    """How the ids of a node of a known step conventionally start."""
+    return "x" if step == "source" and node.get("kind") == "external" else PREFIX["sql"] if step == "source" else PREFIX[step]
+
+
 def known_step(node: object) -> str | None:
     step = node.get("step") if isinstance(node, dict) else None
     return step if isinstance(step, str) and step in STEPS else None
@@ -274,8 +279,10 @@ def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:
         return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")] if "S1" in codes else []
     out = [*_header(graph)] if "S1" in codes or "S5" in codes else []
     if isinstance(graph.get("nodes"), dict) and not codes.isdisjoint(NODE_CODES):
-        others, ids, fields = not codes <= {"S2"}, "S2" in codes, not codes <= {"S2", "S3"}
+        others, ids, prefixes, fields = not codes <= {"S2"}, "S2" in codes, "S6" in codes, not codes <= {"S2", "S3", "S6"}
         for node_id, node in graph["nodes"].items():
-            if ids and not ID.match(node_id) or others and (fields or known_step(node) is None):
+            if ids and not ID.match(node_id):
+                out += _node(node_id, node, codes)
+            elif others and (fields or (step := known_step(node)) is None or (prefixes and not node_id.startswith(_prefix(node, step)))):
                 out += _node(node_id, node, codes)
     return out if codes is ALL else [x for x in out if x.code in codes]
