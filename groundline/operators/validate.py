@@ -218,6 +218,14 @@ def _tests(kind: str, step: str, grounded: bool, codes: frozenset[str]) -> tuple
     return needs, tests
 
 
+@cache
+def _asked(codes: frozenset[str]) -> frozenset[str | None]:
+    """The kinds of nodes whose fields can give any of ``codes``."""
+    if "S4" in codes:
+        return frozenset((*FIELDS, None))
+    return frozenset(kind for kind in FIELDS if not codes.isdisjoint(("S5", "S7", "S9")) or _items(kind, codes))
+
+
 def _sound(node: dict, kind: str, step: str, grounded: bool, codes: frozenset[str]) -> bool:
     """Whether a node surely has no issue but of its id; most have none, and one look at each field shows it."""
     needs, tests = _tests(kind, step, grounded, codes)
@@ -279,10 +287,12 @@ def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:
         return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")] if "S1" in codes else []
     out = [*_header(graph)] if "S1" in codes or "S5" in codes else []
     if isinstance(graph.get("nodes"), dict) and not codes.isdisjoint(NODE_CODES):
-        others, ids, prefixes, fields = not codes <= {"S2"}, "S2" in codes, "S6" in codes, not codes <= {"S2", "S3", "S6"}
+        others, ids, prefixes, asked = not codes <= {"S2"}, "S2" in codes, "S6" in codes, _asked(codes)
         for node_id, node in graph["nodes"].items():
             if ids and not ID.match(node_id):
                 out += _node(node_id, node, codes)
-            elif others and (fields or (step := known_step(node)) is None or (prefixes and not node_id.startswith(_prefix(node, step)))):
+            elif others and ((step := known_step(node)) is None or (prefixes and not node_id.startswith(_prefix(node, step)))):
+                out += _node(node_id, node, codes)
+            elif others and asked and (kind := kind_of(node)) in asked and (kind is None or not _sound(node, kind, step, node.get("ungrounded") is not True, codes)):
                 out += _node(node_id, node, codes)
     return out if codes is ALL else [x for x in out if x.code in codes]
