@@ -156,7 +156,11 @@ def _header(graph: dict) -> Iterator[Issue]:
             yield Issue("S1", None, field, f"`{field}` must be a non-empty string")
     if "built_at" in graph and not is_timestamp(graph["built_at"]):
         yield Issue("S1", None, "built_at", "`built_at` must be an ISO timestamp")
-    yield from (Issue("S5", None, f, f"unknown top-level field `{f}`") for f in graph if f not in HEADER)
+    yield from _unknown(graph)
+
+
+def _unknown(graph: dict) -> Iterator[Issue]:
+    return (Issue("S5", None, f, f"unknown top-level field `{f}`") for f in graph if f not in HEADER)
 
 
 def _required(node_id: str, node: dict, step: str, mode: str, field: str, tag: str | None, what: str) -> tuple[Issue, ...]:
@@ -223,7 +227,7 @@ def _asked(codes: frozenset[str]) -> frozenset[str | None]:
     """The kinds of nodes whose fields can give any of ``codes``."""
     if "S4" in codes:
         return frozenset((*FIELDS, None))
-    return frozenset(kind for kind in FIELDS if not codes.isdisjoint(("S5", "S7", "S9")) or _items(kind, codes))
+    return frozenset(kind for kind in FIELDS if not codes.isdisjoint(("S7", "S9")) or _items(kind, codes))
 
 
 def _sound(node: dict, kind: str, step: str, grounded: bool, codes: frozenset[str]) -> bool:
@@ -285,14 +289,16 @@ def validate(graph: object, codes: frozenset[str] = ALL) -> list[Issue]:
     """Every per-node issue of a graph that has one of ``codes``, in graph order; never raises."""
     if not isinstance(graph, dict):
         return [Issue("S1", None, None, f"graph must be an object, got {named(graph)}")] if "S1" in codes else []
-    out = [*_header(graph)] if "S1" in codes or "S5" in codes else []
+    out = [*_header(graph)] if "S1" in codes else [*_unknown(graph)] if "S5" in codes else []
     if isinstance(graph.get("nodes"), dict) and not codes.isdisjoint(NODE_CODES):
-        others, ids, prefixes, asked = not codes <= {"S2"}, "S2" in codes, "S6" in codes, _asked(codes)
+        others, ids, prefixes, unknown, asked = not codes <= {"S2"}, "S2" in codes, "S6" in codes, "S5" in codes, _asked(codes)
         for node_id, node in graph["nodes"].items():
             if ids and not ID.match(node_id):
                 out += _node(node_id, node, codes)
             elif others and ((step := known_step(node)) is None or (prefixes and not node_id.startswith(_prefix(node, step)))):
                 out += _node(node_id, node, codes)
+            elif unknown and (kind := kind_of(node)) is not None and not node.keys() <= FIELDS[kind]:
+                out += _node(node_id, node, codes)
             elif others and asked and (kind := kind_of(node)) in asked and (kind is None or not _sound(node, kind, step, node.get("ungrounded") is not True, codes)):
                 out += _node(node_id, node, codes)
     return out if codes is ALL else [x for x in out if x.code in codes]
