@@ -227,7 +227,8 @@ def _asked(codes: frozenset[str]) -> frozenset[str | None]:
     """The kinds of nodes whose fields can give any of ``codes``."""
     if "S4" in codes:
         return frozenset((*FIELDS, None))
-    return frozenset(kind for kind in FIELDS if not codes.isdisjoint(("S7", "S9")) or _items(kind, codes))
+    of_desc = not codes.isdisjoint(("S7", "S9"))
+    return frozenset(kind for kind, fields in FIELDS.items() if _items(kind, codes) or (of_desc and "desc" in fields))
 
 
 def _sound(node: dict, kind: str, step: str, grounded: bool, codes: frozenset[str]) -> bool:

@@ -322,6 +322,7 @@ def test_a_chain_looks_at_each_step_once(monkeypatch):
 
 #: Of what kinds of nodes a code's rules look at the fields.
 LOOKED = {
+    "S9": {"sql", "view", "figure"},
     "S5": set(),
     "C9": {"figure"},
     "S6": set(),
@@ -342,7 +343,9 @@ def test_a_code_looks_only_at_what_can_give_it(monkeypatch, code):
         graph = damaged(r)[0]
         if nodes_of(graph):
             for i in r.sample([*nodes_of(graph)], 1):
-                graph["nodes"][r.choice(["I-1", "9a", "q9", "x9", "f9"])] = graph["nodes"].pop(i)
+                n = graph["nodes"][r.choice(["I-1", "9a", "q9", "x9", "f9"])] = graph["nodes"].pop(i)
+                if isinstance(n, dict):
+                    n[r.choice(["desc", "expr"])] = r.choice(["d" * 121, "a\nb", "(a", "d"])
         want = [] if not isinstance(graph, dict) else [*validate._header(graph), *(x for i, n in nodes_of(graph).items() for x in node(i, n, validate.ALL))]
         want = [x for x in want if x.code == code]
         assert not isinstance(graph, dict) or validate.validate(graph, codes) == want, graph
