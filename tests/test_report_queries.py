@@ -322,6 +322,7 @@ def test_a_chain_looks_at_each_step_once(monkeypatch):
 
 #: Of what kinds of nodes a code's rules look at the fields.
 LOOKED = {
+    "S8": {"figure"},
     "S9": {"sql", "view", "figure"},
     "S5": set(),
     "C9": {"figure"},
@@ -353,6 +354,19 @@ def test_a_code_looks_only_at_what_can_give_it(monkeypatch, code):
     assert told > 5
 
 
+def test_an_expr_without_brackets_or_quotes_is_not_walked():
+    class Whole(str):
+        def __getitem__(self, at):
+            pytest.fail("looked at letter by letter")
+
+    assert sqltext.expr_problem(Whole("f1 / f2 - 3 * x")) is None
+    r = random.Random(19)
+    for _ in range(5000):
+        expr = "".join(r.choice(["f1", " - ", "-", "/", "*", "(", ")", "'", '"', "a"]) for _ in range(r.randint(0, 6)))
+        longer = sqltext.expr_problem(expr + "()")  # is walked
+        assert sqltext.expr_problem(expr) == longer or (expr[-1:] in "-/" and not sqltext.expr_problem(expr)), expr
+
+
 def test_reach_and_cycles_are_those_of_the_closure():
     r = random.Random(7)
     for _ in range(1000):
