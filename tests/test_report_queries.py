@@ -378,6 +378,30 @@ def test_reach_and_cycles_are_those_of_the_closure():
         assert resting(parents, on) == {i for i in nodes if below[i] & on}
 
 
+def test_cycles_are_looked_for_only_after_a_later_parent():
+    class Once(dict):
+        def __init__(self, of):
+            super().__init__(of)
+            self.passes = 0
+
+        def items(self):
+            self.passes += 1
+            return super().items()
+
+    r, loops = random.Random(20), 0
+    for _ in range(1000):
+        names = [f"n{k}" for k in range(r.randint(1, 7))]
+        nodes = Once({n: r.choice([{"from": [r.choice([*names[:k], *names[:k], *names[:k], *names, "gone"]) for _ in range(r.randint(0, 3))]}] * 9 + [None, {"from": "n0"}, {"from": [None]}]) for k, n in enumerate(names)})
+        ahead = any(p in nodes and names.index(p) >= k for k, n in enumerate(nodes.values()) if isinstance(n, dict) and isinstance(n["from"], list) for p in n["from"] if p)
+        nodes.passes = 0
+        found = rules.cycles(nodes)
+        assert nodes.passes == 1 + ahead and (ahead or not found)
+        sound = {i: n if isinstance(n, dict) and n["from"] not in ("n0", [None]) else {"from": []} for i, n in nodes.items()}
+        assert {i for c in found for i in c} <= looped(parents_of(sound)) and bool(found) == bool(looped(parents_of(sound)))
+        loops += bool(found)
+    assert 100 < loops < 900
+
+
 def test_a_long_chain_is_traced_without_its_closure():
     n = 50_000  # its closure has 1,250,000,000 pairs
     nodes = {"q": {"step": "source", "kind": "sql"}} | {f"v{k}": {"step": "view", "from": [f"v{k - 1}" if k else "q"]} for k in range(n)}
